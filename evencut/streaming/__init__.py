@@ -1,0 +1 @@
+"""No operator of this engine reads a stream; an arriving edge batch is normalised and partitioned as a table."""
