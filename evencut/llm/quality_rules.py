@@ -24,7 +24,7 @@ from evencut.llm.common import WORD, free_name, materialize
 
 MIN_WORDS, HALF, STEPS, MIN_GROUP = 50, 0.75, 3, 100
 NAMES = ("word_len", "symbols", "dup_lines", "repeats")
-FLOORS = (0.08, 0.10, 0.08, 0.08)
+FLOORS = (0.08, 0.10, 0.20, 0.12)
 CUTOFF = 60.0
 SYMBOLS = "#*$%&|<>"
 
