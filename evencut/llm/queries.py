@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evencut.llm import decontamination, mixing, quality_rules, sharding
+from evencut.llm import decontamination, mixing, quality_rules, sharding, simhash
 from evencut.llm.common import new_path, table
 
 
@@ -19,14 +19,13 @@ def op1_decontamination(spark, sf_dir):
     )
 
 
+def op3_simhash(spark, sf_dir):
+    return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_sharding(spark, sf_dir):
     """Each document's shard after one arrival and one compaction."""
-    docs = table(spark, sf_dir, "documents")
-    store = sharding.ShardStore(spark, new_path(spark, "shards"))
-    store.append(docs)
-    store.compact(docs.schema)
-    store.vacuum()
-    return store.located(docs.schema)
+    return sharding.store_and_locate(spark, table(spark, sf_dir, "documents"), new_path(spark, "shards"))
 
 
 def op6_quality_rules(spark, sf_dir):
@@ -38,5 +37,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op5_sharding, op6_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_simhash, op5_sharding, op6_quality_rules, op10_mixing)}
 ORACLE: dict[str, str] = {}

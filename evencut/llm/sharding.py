@@ -125,3 +125,12 @@ class ShardStore:
         for s in self._fs.listStatus(data) if self._fs.exists(data) else []:
             if s.getPath().getName() not in live:
                 self._fs.delete(s.getPath(), True)
+
+
+def store_and_locate(spark: SparkSession, docs: DataFrame, root: str, target: int = TARGET) -> DataFrame:
+    """Stores docs at root as one arrival, compacts it, and returns each row's shard."""
+    store = ShardStore(spark, root)
+    store.append(docs)
+    store.compact(docs.schema, target)
+    store.vacuum()
+    return store.located(docs.schema)
