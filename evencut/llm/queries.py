@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evencut.llm import decontamination, mixing, quality_rules, sharding, simhash
+from evencut.llm import decontamination, html_text, language, mixing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, toxicity
 from evencut.llm.common import new_path, table
 
 
@@ -19,10 +19,18 @@ def op1_decontamination(spark, sf_dir):
     )
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_quality_classifier(spark, sf_dir):
+    return quality_classifier.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_sharding(spark, sf_dir):
     """Each document's shard after one arrival and one compaction."""
     return sharding.store_and_locate(spark, table(spark, sf_dir, "documents"), new_path(spark, "shards"))
@@ -33,9 +41,25 @@ def op6_quality_rules(spark, sf_dir):
     return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", "n_lines")
 
 
+def op7_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_language_id(spark, sf_dir):
+    return language.predict(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_simhash, op5_sharding, op6_quality_rules, op10_mixing)}
+_ALL = (
+    op1_decontamination, op2_toxicity, op3_simhash, op4_quality_classifier, op5_sharding, op6_quality_rules,
+    op7_html_text, op8_language_id, op9_suffix_dedup, op10_mixing,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}
