@@ -68,9 +68,9 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, first: int
     same = who[1:] == who[:-1]
     # the next anchor takes over when its smaller rank comes into reach, or when the last one is passed
     lo[1:] = np.where(same, np.where(r[1:] < r[:-1], at[1:] - width + 1, at[:-1] + 1), lo[1:])
-    lo = np.maximum(lo, off[who])
+    lo = np.minimum.accumulate(np.maximum(lo, off[who])[::-1])[::-1]  # one that a later anchor overtakes has none
     hi = off[who + 1] - length
-    hi[:-1] = np.where(same, lo[1:] - 1, hi[:-1])
+    hi[:-1] = np.where(same, np.minimum(lo[1:] - 1, hi[:-1]), hi[:-1])
     ok = lo <= hi
     return at[ok], r[ok], lo[ok], hi[ok], hashes
 
