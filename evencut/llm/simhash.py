@@ -3,8 +3,8 @@
 A text's fingerprint has a bit for each bit that is set in over half the XXH64 values (seed 42) of its
 shingles. Distinct fingerprints are compared where they agree on enough bit blocks: two that differ in
 at most DISTANCE of 64 bits agree on at least b - DISTANCE of any b blocks, so those sets of blocks are
-keys that miss no pair; b grows with the number of fingerprints, so that keys stay selective. Inside a
-key, each fingerprint has its Hamming distances to PIVOTS reference fingerprints; by the triangle
+keys that miss no pair, for any b. More blocks make more keys of more bits: BLOCKS = 6 gives 15 keys of
+21 bits, for up to some tens of millions of distinct fingerprints; 8 gives 70 keys of 32 bits. Inside a key, each fingerprint has its Hamming distances to PIVOTS reference fingerprints; by the triangle
 inequality a pair whose distances to some pivot differ by over DISTANCE is discarded, and the survivors
 are verified bit by bit. A key's links are returned as a forest, never as all pairs, and a key of over
 LARGE fingerprints is dealt out as pairs of parts. Components follow by alternating large-star and
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from evencut.llm.common import materialize
 
-SHINGLE, DISTANCE, PIVOTS, LARGE, PER_KEY = 4, 4, 16, 4096, 32
+SHINGLE, DISTANCE, BLOCKS, PIVOTS, LARGE = 4, 4, 6, 16, 4096
 
 
 def fingerprint_batch(texts, shingle: int = SHINGLE) -> np.ndarray:
@@ -79,16 +79,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def key_masks(n: int, distance: int = DISTANCE) -> list[int]:
-    """Bit masks such that any two of n fingerprints within distance agree on all bits of one."""
-    blocks = distance + 1
-    while True:
-        edges = [64 * i // blocks for i in range(blocks + 1)]
-        part = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-        agree = blocks - distance
-        if n >> (64 * agree // blocks) <= PER_KEY or blocks >= distance + 6:
-            return [sum(c) for c in combinations(part, agree)]
-        blocks += 1
+def key_masks(distance: int = DISTANCE, blocks: int = BLOCKS) -> list[int]:
+    """Bit masks such that any two fingerprints within distance agree on all bits of one."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    part = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(c) for c in combinations(part, blocks - distance)]
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
@@ -137,9 +132,9 @@ def _link(fp: np.ndarray, group: np.ndarray, side: np.ndarray, distance: int, re
     return np.concatenate(left), np.concatenate(right)
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """(a, b): fingerprints of distinct (column fp) that connect all pairs within distance."""
-    masks = key_masks(distinct.count(), distance)
+    masks = key_masks(distance, blocks)
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks)])
     rows = distinct.select("fp", F.explode(keys).alias("k")).select("k.t", "k.key", "fp")
     crowd = rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
