@@ -28,9 +28,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evencut.llm.common import CHUNK, Hashes, chunks, materialize, mix, owner, release
+from evencut.llm.common import Hashes, chunks, materialize, mix, owner, release
 
 LENGTH, FIRST, RANGES = 100, 40, 96
+CHUNK, ROWS = 1 << 19, 500  # bytes of text, and rows of results, that a task works on at once
 
 
 def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -156,7 +157,7 @@ def _round1(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(spans that are settled, anchors that go on)."""
 
     def local(batches):
-        for b in batches:
+        for b in (whole.slice(i, 4 * ROWS) for whole in batches for i in range(0, whole.num_rows, 4 * ROWS)):
             ids, hash_ = _keys(b)
             for row, data, off in chunks(b.column(2), CHUNK):
                 at, rank, lo, hi, hashes = anchors(data, off)
@@ -286,10 +287,10 @@ def removed(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + ", kept binary" * keep_text
 
     def cut(batches):
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             rows = []
-            for text, starts, ends in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                raw = (text or "").encode()
+            for text, starts, ends in zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                raw = (text.as_py() or "").encode()
                 merged: list[list[int]] = []
                 for s, e in sorted(zip(starts or [], ends or [], strict=True)):
                     if merged and s <= merged[-1][1]:
@@ -301,9 +302,10 @@ def removed(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                     kept.append(raw[at:s])
                     at = e
                 left = b"".join([*kept, raw[at:]])
-                rows.append((len(raw), len(raw) - len(left), len(merged), hashlib.sha256(left).hexdigest(), [{"start": s, "end": e} for s, e in merged], left))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *made[: 5 + keep_text]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"][: 6 + keep_text])
+                row = (len(raw), len(raw) - len(left), len(merged), hashlib.sha256(left).hexdigest(), [{"start": s, "end": e} for s, e in merged])
+                rows.append((*row, left) if keep_text else row)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
+            made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[: 5 + keep_text], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"][: 6 + keep_text])
 
     return found.mapInArrow(cut, schema)
