@@ -36,6 +36,32 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def lean(run):
+    """run for mapInArrow, after which the Python worker gives freed memory back: idle workers stay with their executor."""
+
+    def inner(batches):
+        import ctypes
+
+        try:
+            yield from run(batches)
+        finally:
+            _powers.clear()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return inner
+
+
+def slices(batches, rows: int):
+    """The batches in pieces of at most so many rows."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def with_column(docs: DataFrame, name: str, kind: T.DataType, make) -> DataFrame:
     """docs with one more column; make maps a record batch to a list or array of as many values."""
     schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
@@ -44,12 +70,12 @@ def with_column(docs: DataFrame, name: str, kind: T.DataType, make) -> DataFrame
     arrow = to_arrow_type(kind)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 2500):
             made = make(b)
             made = made.cast(arrow) if isinstance(made, pa.Array) else pa.array(made, arrow)
             yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evencut.llm.common import Hashes, chunks, materialize, mix, owner, release
+from evencut.llm.common import Hashes, chunks, lean, materialize, mix, owner, release, slices
 
 LENGTH, FIRST, RANGES = 100, 40, 96
 CHUNK, ROWS = 1 << 19, 500  # bytes of text, and rows of results, that a task works on at once
@@ -157,7 +157,7 @@ def _round1(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(spans that are settled, anchors that go on)."""
 
     def local(batches):
-        for b in (whole.slice(i, 4 * ROWS) for whole in batches for i in range(0, whole.num_rows, 4 * ROWS)):
+        for b in slices(batches, 4 * ROWS):
             ids, hash_ = _keys(b)
             for row, data, off in chunks(b.column(2), CHUNK):
                 at, rank, lo, hi, hashes = anchors(data, off)
@@ -168,7 +168,7 @@ def _round1(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield _deal(rank, {"body": body, "doc": ids[row + who], "hash": hash_[row + who], "place": at - off[who], "lo": (at - lo).astype(np.uint8), "hi": (at - hi + LENGTH - FIRST).astype(np.uint8)})
 
     names = ["rank", "body", "doc", "hash", "place", "lo", "hi"]
-    sent = _keyed(docs).mapInArrow(local, "part int, " + ", ".join(f"{n} binary" for n in names))
+    sent = _keyed(docs).mapInArrow(lean(local), "part int, " + ", ".join(f"{n} binary" for n in names))
 
     def settle(batches):
         for g in _gathered(batches, names):
@@ -202,7 +202,7 @@ def _round1(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([*go.columns, pa.array(np.ones(go.num_rows, np.int8))], names=[*go.schema.names, "kind"])
 
     ranged = sent.repartition(RANGES, "part").sortWithinPartitions("part")
-    out = materialize(ranged.mapInArrow(settle, SPANS + ", kind tinyint"), "round1")
+    out = materialize(ranged.mapInArrow(lean(settle), SPANS + ", kind tinyint"), "round1")
     return out.filter("kind = 0").drop("kind"), out.filter("kind = 1").drop("kind")
 
 
@@ -233,7 +233,7 @@ def _round2(docs: DataFrame, on: DataFrame) -> DataFrame:
     """Spans of the strings that the remaining anchors share."""
 
     def local(batches):
-        for b in batches:
+        for b in slices(batches, 4 * ROWS):
             ids, hash_ = _keys(b)
             starts, so = _lists(b.column(3))
             ends, _ = _lists(b.column(4))
@@ -251,7 +251,7 @@ def _round2(docs: DataFrame, on: DataFrame) -> DataFrame:
                 yield _deal(rank, {"doc": ids[row + who], "hash": hash_[row + who], "place": at})
 
     names = ["rank", "doc", "hash", "place"]
-    sent = _with_spans(docs, on, "inner").mapInArrow(local, "part int, " + ", ".join(f"{n} binary" for n in names))
+    sent = _with_spans(docs, on, "inner").mapInArrow(lean(local), "part int, " + ", ".join(f"{n} binary" for n in names))
 
     def settle(batches):
         for g in _gathered(batches, names):
@@ -267,7 +267,7 @@ def _round2(docs: DataFrame, on: DataFrame) -> DataFrame:
             yield _spans_of(g["doc"][dup], g["hash"][dup], g["place"][dup], g["place"][dup] + LENGTH)
 
     ranged = sent.repartition(RANGES, "part").sortWithinPartitions("part")
-    return materialize(ranged.mapInArrow(settle, SPANS), "round2")
+    return materialize(ranged.mapInArrow(lean(settle), SPANS), "round2")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def removed(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + ", kept binary" * keep_text
 
     def cut(batches):
-        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+        for b in slices(batches, ROWS):
             rows = []
             for text, starts, ends in zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 raw = (text.as_py() or "").encode()
@@ -308,4 +308,4 @@ def removed(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[: 5 + keep_text], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"][: 6 + keep_text])
 
-    return found.mapInArrow(cut, schema)
+    return found.mapInArrow(lean(cut), schema)
