@@ -6,8 +6,8 @@ no phrase can occur there. Phrases (WINDOW consecutive words of an item; a short
 are searched backward, all at once, through ranks of a wavelet matrix over the Burrows-Wheeler transform;
 occurrences are located by walking to sampled suffix positions. Hit words merge into spans.
 
-Benchmark items are taken in blocks of about BLOCK bytes of text, one pass over the documents each, so
-that only a block is ever held by the driver and the executors; passes pass on what was found so far.
+Benchmark items are taken in blocks of about BLOCK bytes of text; each block is a broadcast of bounded
+size that is searched for by itself, and what the blocks find is joined text by text.
 
 Null or word-less texts and items have no windows; windows that several items share count for each;
 repeated rows are searched alike; empty tables give no hits. A result column never takes the name of an
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evencut.llm.common import ALNUM, LOWER, Hashes, chunks, free_name, owner, spans, with_column
+from evencut.llm.common import ALNUM, LOWER, Hashes, chunks, free_name, lean, owner, slices, spans, with_column
 
 WINDOW, SHARD, BLOCK, SAMPLE = 10, 8 << 20, 32 << 20, 8
 
@@ -222,54 +222,59 @@ def _joined(a: dict, b: dict) -> dict:
     return {"n_words": b["n_words"], "words": both("words"), "bytes": both("bytes"), "items": sorted({*a["items"], *b["items"]})}
 
 
-def find(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard: int = SHARD, block: int = BLOCK) -> tuple[DataFrame, str]:
-    """(docs with a column of FOUND structs, that column's name)."""
-    spark, name = docs.sparkSession, free_name(docs.columns, "found")
+def _blocks(bench: DataFrame, window: int, block: int):
+    """The phrases of one block of items after the other, as broadcast variables."""
+    spark = bench.sparkSession
     items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-int(total) // block))
-    names = docs.columns
-    out = docs
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast(Phrases([tuple(r) for r in part.collect()], window))
+        yield spark.sparkContext.broadcast(Phrases([tuple(r) for r in part.collect()], window))
+
 
-        def make(batch, shared=shared, b=b):
-            col = batch.column(names.index("text"))
-            made = [x for _, data, off in chunks(col, shard) for x in search_shard(shared.value, data, off)]
-            return made if not b else [_joined(x, y) for x, y in zip(batch.column(batch.num_columns - 1).to_pylist(), made, strict=True)]
+def _searched(held, col: pa.Array, shard: int) -> list[dict]:
+    found = None
+    for phrases in held:
+        made = [x for _, data, off in chunks(col, shard) for x in search_shard(phrases.value, data, off)]
+        found = made if found is None else [_joined(x, y) for x, y in zip(found, made, strict=True)]
+    return found
 
-        step = free_name([*out.columns], name)
-        out = with_column(out, step, FOUND, make)
-        out = out if step == name else out.select(*names, F.col(step).alias(name))
-    return out, name
+
+def find(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard: int = SHARD, block: int = BLOCK) -> tuple[DataFrame, str]:
+    """(docs with a column of FOUND structs, that column's name)."""
+    name, at, held = free_name(docs.columns, "found"), docs.columns.index("text"), list(_blocks(bench, window, block))
+    return with_column(docs, name, FOUND, lambda batch: _searched(held, batch.column(at), shard)), name
 
 
 def sha256_ids(ids) -> str:
     return hashlib.sha256(",".join(ids).encode()).hexdigest()
 
 
-def cleaned_documents(docs: DataFrame, bench: DataFrame) -> DataFrame:
+def cleaned_documents(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """docs without the merged spans of benchmark passages; texts without any stay as they are. n_chars, if there, follows the text."""
-    found, name = find(docs, bench)
-    names = docs.columns
+    held, names = list(_blocks(bench, window, block)), docs.columns
 
     def cut(batches):
-        for b in batches:
-            texts, spans_ = b.column(names.index("text")).to_pylist(), b.column(names.index(name) if name in names else len(names)).to_pylist()
-            new = []
-            for t, s in zip(texts, spans_, strict=True):
-                if s["bytes"]:
-                    raw, at, kept = t.encode(), 0, []
-                    for x in s["bytes"]:
+        for b in slices(batches, 2500):
+            col = b.column(names.index("text"))
+            found = _searched(held, col, shard)
+            hit = [i for i, s in enumerate(found) if s["bytes"]]
+            if hit:
+                new, cols = col.to_pylist(), dict(zip(names, b.columns, strict=True))
+                size = cols["n_chars"].to_pylist() if "n_chars" in cols else None
+                for i in hit:
+                    raw, at, kept = new[i].encode(), 0, []
+                    for x in found[i]["bytes"]:
                         kept.append(raw[at : x["start"]])
                         at = x["end"]
-                    t = b"".join([*kept, raw[at:]]).decode()
-                new.append(t)
-            cols = {c: b.column(i) for i, c in enumerate(names)}
-            cols["text"] = pa.array(new, cols["text"].type)
-            if "n_chars" in cols:
-                cols["n_chars"] = pa.array([old if s["bytes"] == [] else len(t) for old, t, s in zip(cols["n_chars"].to_pylist(), new, spans_, strict=True)], cols["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
-
-    return found.mapInArrow(cut, docs.schema)
+                    new[i] = b"".join([*kept, raw[at:]]).decode()
+                    if size:
+                        size[i] = len(new[i])
+                cols["text"] = pa.array(new, col.type)
+                if size:
+                    cols["n_chars"] = pa.array(size, cols["n_chars"].type)
+                b = pa.RecordBatch.from_arrays(list(cols.values()), names=names)
+            yield b
+
+    return docs.mapInArrow(lean(cut), docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evencut.llm.common import LOWER, Hashes, buffer, chunks, held_out, owner, spans
+from evencut.llm.common import LOWER, Hashes, buffer, chunks, held_out, lean, owner, slices, spans
 
 TRAIN_ROWS, LONGEST, MOST, ROUNDS, SMOOTH = 8000, 10, 31, 2, 0.05
 LETTER = np.zeros(256, bool)
@@ -205,9 +205,7 @@ def fit(docs: DataFrame, path: str | None = None, most: int = TRAIN_ROWS) -> Mod
 
         def run(batches, shared=shared):
             total = None
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            for b in slices(batches, 2500):
                 flat, sizes, row, index = words(b.column(0))
                 of = np.array([code[x] for x in b.column(1).to_pylist()])
                 k = len(code)
@@ -218,7 +216,7 @@ def fit(docs: DataFrame, path: str | None = None, most: int = TRAIN_ROWS) -> Mod
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["counts"])
 
         counts = np.zeros_like(model.prob)
-        for r in spread.mapInArrow(run, "counts binary").toLocalIterator():  # 12 rows at most
+        for r in spread.mapInArrow(lean(run), "counts binary").toLocalIterator():  # 12 rows at most
             counts += np.frombuffer(r.counts).reshape(counts.shape)
         model = Model(pieces, langs, _normalised(counts))
     return model
@@ -254,9 +252,9 @@ def predict(docs: DataFrame, path: str | None = None, most: int = TRAIN_ROWS) ->
     d = docs.select("doc_id", "text")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 2500):
             lang, score = predict_batch(shared.value, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    out = d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    out = d.mapInArrow(lean(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
     return out.select("doc_id", F.coalesce(held_out("doc_id", 4, 2), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evencut.llm.common import SPACE, Hashes, chunks, held_out, materialize, mix, owner, spans, training
+from evencut.llm.common import SPACE, Hashes, chunks, held_out, lean, materialize, mix, owner, spans, training
 
 TRAIN_ROWS, POOL, RIDGE = 200_000, 0.15, 0.05
 NAMES = ("words", "word_len", "symbols", "digits", "capitals", "points", "distinct", "dup_lines", "repeats", "line_words", "other_bytes", "top_word")
@@ -114,7 +114,7 @@ def measured(docs: DataFrame) -> DataFrame:
             x = features(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(NAMES), pa.int32()), pa.array(x.ravel()))], names=["doc_id", "x"])
 
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return d.mapInArrow(lean(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 def fit(stats: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Discriminant:
@@ -145,5 +145,5 @@ def scores(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFr
             s = model.score(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    out = stats.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    out = stats.mapInArrow(lean(run), f"doc_id {kind}, score double, predicted int")
     return out.select("doc_id", F.coalesce(held_out("doc_id", 3, 1), F.lit(False)).alias("held_out"), "score", "predicted")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evencut.llm.common import materialize
+from evencut.llm.common import lean, materialize, slices
 
 SHINGLE, DISTANCE, BLOCKS, PIVOTS, LARGE = 4, 4, 6, 16, 4096
 
@@ -72,11 +72,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     d = docs.select("doc_id", "text")
 
     def run(batches):
-        for b in batches:
-            fp = np.concatenate([fingerprint_batch(b.column(1).slice(i, 1000).to_pylist(), shingle) for i in range(0, max(1, b.num_rows), 1000)])
+        for b in slices(batches, 500):
+            fp = fingerprint_batch(b.column(1).to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long")
+    return d.mapInArrow(lean(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def key_masks(distance: int = DISTANCE, blocks: int = BLOCKS) -> list[int]:
@@ -171,7 +171,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -
         if held:
             yield work(held)
 
-    return laid.mapInArrow(run, "a long, b long")
+    return laid.mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
