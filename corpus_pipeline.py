@@ -11,18 +11,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evencut.llm import decontamination, mixing, quality_rules, sharding, simhash
-from evencut.llm.common import materialize, new_path, table
+from evencut.llm.common import materialize, new_path, release, small_batches, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality_rules.kept_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash.first_documents(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontamination.cleaned_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -42,6 +45,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

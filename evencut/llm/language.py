@@ -45,7 +45,16 @@ class Pieces:
                 piece = base64.b64decode(line.split()[0]) if line.strip() else b""
                 if len(piece) <= LONGEST and re.fullmatch(rb" ?[a-z\x80-\xff]+", piece):
                     found.add(piece)
-        self.pieces = sorted(found)
+        self._index(sorted(found))
+
+    def __getstate__(self):  # tables are made again where they are used: a broadcast holds the pieces only
+        return self.pieces
+
+    def __setstate__(self, pieces: list[bytes]) -> None:
+        self._index(pieces)
+
+    def _index(self, pieces: list[bytes]) -> None:
+        self.pieces = pieces
         data = np.frombuffer(b"".join(self.pieces), np.uint8)
         size = np.array([len(p) for p in self.pieces])
         ends = np.cumsum(size)

@@ -28,7 +28,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evencut.llm.common import Hashes, chunks, lean, materialize, mix, owner, release, slices
+from evencut.llm.common import Hashes, chunks, lean, materialize, mix, owner, release, slices, small_batches
 
 LENGTH, FIRST, RANGES = 100, 40, 96
 CHUNK, ROWS = 1 << 19, 500  # bytes of text, and rows of results, that a task works on at once
@@ -273,6 +273,7 @@ def _round2(docs: DataFrame, on: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, hash, text, starts, ends) of each row of docs: byte spans to remove, not yet merged (null if none)."""
     spark = docs.sparkSession
+    small_batches(spark)
     sure, on = _round1(docs)
     release(spark)
     rest = _round2(docs, on)
