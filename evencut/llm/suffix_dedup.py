@@ -11,7 +11,10 @@ its strings cover: in a class of equal (prefix, bytes), all strings of all but t
 repeats, whatever the size of the class, and that anchor alone goes on, if its prefix occurs elsewhere.
 Round 2 ranks the strings of those anchors at full length as pairs of ranks (prefix at the start, prefix
 at offset LENGTH - FIRST joined with what lies between), and in a class all but the earliest are repeats.
-Classes are dealt out by ranges of ranks and sorted there.
+Classes are dealt out by ranges of ranks, as many as the bytes of text ask for, and sorted there. Before that,
+a task settles what it can tell by itself: of equal strings among HELD of its positions, all but the
+earliest are repeats wherever else they occur, so a passage that a third of all texts share sends one
+position for each HELD to its range. Positions whose prefix is shared but whose strings differ all go there.
 
 Null texts are empty; texts shorter than LENGTH repeat nothing; rows that share doc_id and text are the
 same place, so none of them is earlier, and rows that share only doc_id are ordered by a hash of the text;
@@ -30,8 +33,10 @@ from pyspark.sql import functions as F
 
 from evencut.llm.common import Hashes, chunks, lean, materialize, mix, owner, release, slices, small_batches
 
-LENGTH, FIRST, RANGES = 100, 40, 96
+LENGTH, FIRST = 100, 40
+RANGES, RANGE_BYTES, TASKS = 96, 8 << 20, 20_000  # ranges at least, bytes of text for each beyond, tasks at most
 CHUNK, ROWS = 1 << 19, 500  # bytes of text, and rows of results, that a task works on at once
+HELD = 200_000  # positions that a task settles by itself at once
 
 
 def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -82,17 +87,50 @@ def _keys(batch) -> tuple[np.ndarray, np.ndarray]:
     return ids, batch.column(1).to_numpy(zero_copy_only=False)
 
 
-def _deal(rank: np.ndarray, columns: dict[str, np.ndarray]):
-    """A row of byte strings for each range of ranks."""
-    part = (rank >> np.uint64(32)).astype(np.int64) * RANGES >> 32
+def ranges_of(docs: DataFrame) -> int:
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(RANGES, -(-int(total) // RANGE_BYTES))
+
+
+def _deal(g: dict[str, np.ndarray | None], ranges: int) -> pa.RecordBatch:
+    """A row of byte strings for each range of ranks; a column that is None is empty."""
+    part = (g["rank"] >> np.uint64(32)).astype(np.int64) * ranges >> 32
     order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(RANGES + 1))
-    kept = [p for p in range(RANGES) if edges[p] < edges[p + 1]]
+    kept, edges = np.unique(part[order], return_index=True)
+    edges = [*edges.tolist(), len(part)]
     cols = [pa.array(kept, pa.int32())]
-    for v in {"rank": rank, **columns}.values():
-        v = v[order]
-        cols.append(pa.array([v[edges[p] : edges[p + 1]].tobytes() for p in kept], pa.binary()))
-    return pa.RecordBatch.from_arrays(cols, names=["part", "rank", *columns])
+    for v in g.values():
+        v = v[order] if v is not None else np.zeros(0, np.uint8)
+        cols.append(pa.array([v[x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)], pa.binary()))
+    return pa.RecordBatch.from_arrays(cols, names=["part", *g])
+
+
+def _later(g: dict[str, np.ndarray], head: np.ndarray) -> np.ndarray:
+    """Which rows, sorted in their groups by place, lie elsewhere than their group's first; repeated rows are one place."""
+    if not len(head):
+        return head
+    f = np.flatnonzero(head)[np.cumsum(head) - 1]
+    return ~((g["doc"] == g["doc"][f]) & (g["hash"] == g["hash"][f]) & (g["place"] == g["place"][f]))
+
+
+def _dealt(held: list[dict[str, np.ndarray]], names: list[str], keys: tuple[str, ...], reach, ranges: int):
+    """What a task sends of the positions it holds: the earliest of each class, and in a part of its own the spans (place to body) of the others."""
+    g = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+    order = np.lexsort((g["place"], g["hash"], g["doc"], *[g[k] for k in reversed(keys)]))
+    g = {k: v[order] for k, v in g.items()}
+    head = _groups(*[g[k] for k in keys])
+    dup = _later(g, head)
+    if dup.any():
+        start, end = reach({k: v[dup] for k, v in g.items()})
+        doc, hash_, start, end = _merged(g["doc"][dup], g["hash"][dup], start, end)
+        sure = {"rank": hash_[:0], "body": end, "doc": doc, "hash": hash_, "place": start}
+        cells = [pa.array([sure[k].tobytes() if k in sure else b""], pa.binary()) for k in names]
+        yield pa.RecordBatch.from_arrays([pa.array([ranges + int(hash_[0]) % ranges], pa.int32()), *cells], names=["part", *names])
+    yield _deal({k: g[k][head] if k in g else None for k in names}, ranges)
+
+
+def _laid(sent: DataFrame, ranges: int) -> DataFrame:
+    return sent.repartition(min(ranges, TASKS), "part").sortWithinPartitions("part")
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -107,7 +145,7 @@ COLUMNS = {"rank": np.uint64, "body": np.uint64, "doc": np.int64, "hash": np.int
 
 
 def _gathered(batches, names: list[str]):
-    """The rows of each range of ranks; a task gets whole ranges, in order."""
+    """(range, its rows) for each range of ranks; a task gets whole ranges, in order."""
     now, held = None, []
 
     def joined(rows):
@@ -117,33 +155,38 @@ def _gathered(batches, names: list[str]):
         cols = [c.to_pylist() for c in b.columns]
         for k, part in enumerate(cols[0]):
             if part != now and held:
-                yield joined(held)
+                yield now, joined(held)
                 held = []
             now = part
             held.append([c[k] for c in cols[1:]])
     if held:
-        yield joined(held)
+        yield now, joined(held)
 
 
-def _spans_of(doc, hash_, start, end) -> pa.RecordBatch:
-    """(doc, hash, starts, ends): one row for each text, with its spans merged."""
+def _merged(doc, hash_, start, end):
+    """The spans sorted by text, those of a text merged."""
     order = np.lexsort((start, hash_, doc))
     doc, hash_, start, end = doc[order], hash_[order], start[order], end[order]
+    if not len(doc):
+        return doc, hash_, start, end
     new = _groups(doc, hash_)
-    reach = np.zeros(0, np.int64)
-    if len(doc):
-        group = np.cumsum(new) - 1
-        big = np.int64(1) << 40  # spans of the next text never touch those before
-        reach = np.maximum.accumulate(end + group * big) - group * big
-        new[1:] |= start[1:] > reach[:-1]
+    group = np.cumsum(new) - 1
+    big = np.int64(1) << 40  # spans of the next text never touch those before
+    reach = np.maximum.accumulate(end + group * big) - group * big
+    new[1:] |= start[1:] > reach[:-1]
     at = np.flatnonzero(new)
-    last = (np.append(at[1:], len(doc)) - 1)[: len(at)]
-    s, e = start[at], reach[last]
-    d, h = doc[at], hash_[at]
-    text = _groups(d, h)
-    edge = np.append(np.flatnonzero(text), len(d)).astype(np.int32)
+    return doc[at], hash_[at], start[at], reach[np.append(at[1:], len(doc)) - 1]
+
+
+def _by_text(doc, hash_, start, end) -> pa.RecordBatch:
+    """(doc, hash, starts, ends): one row for each text of sorted spans."""
+    edge = np.append(np.flatnonzero(_groups(doc, hash_)), len(doc)).astype(np.int32)
     lists = lambda x: pa.ListArray.from_arrays(pa.array(edge), pa.array(x.astype(np.int64)))
-    return pa.RecordBatch.from_arrays([pa.array(d[edge[:-1]]), pa.array(h[edge[:-1]]), lists(s), lists(e)], names=["doc", "hash", "starts", "ends"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[edge[:-1]]), pa.array(hash_[edge[:-1]]), lists(start), lists(end)], names=["doc", "hash", "starts", "ends"])
+
+
+def _spans_of(doc, hash_, start, end) -> pa.RecordBatch:
+    return _by_text(*_merged(doc, hash_, start, end))
 
 
 SPANS = "doc long, hash long, starts array<long>, ends array<long>"
@@ -153,10 +196,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text")
 
 
-def _round1(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _reach(g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that an anchor's strings cover."""
+    return g["place"] - g["lo"], g["place"] - g["hi"].astype(np.int64) + (LENGTH - FIRST) + LENGTH
+
+
+def _round1(docs: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame]:
     """(spans that are settled, anchors that go on)."""
+    names = ["rank", "body", "doc", "hash", "place", "lo", "hi"]
 
     def local(batches):
+        held, n = [], 0
         for b in slices(batches, 4 * ROWS):
             ids, hash_ = _keys(b)
             for row, data, off in chunks(b.column(2), CHUNK):
@@ -165,56 +215,46 @@ def _round1(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     continue
                 who = owner(off, at)
                 body = mix(hashes.of(lo, hi + LENGTH) ^ ((at - lo).astype(np.uint64) << np.uint64(48)) ^ ((hi - lo).astype(np.uint64) << np.uint64(40)))
-                yield _deal(rank, {"body": body, "doc": ids[row + who], "hash": hash_[row + who], "place": at - off[who], "lo": (at - lo).astype(np.uint8), "hi": (at - hi + LENGTH - FIRST).astype(np.uint8)})
+                made = (rank, body, ids[row + who], hash_[row + who], at - off[who], (at - lo).astype(np.uint8), (at - hi + LENGTH - FIRST).astype(np.uint8))
+                held.append(dict(zip(names, made, strict=True)))
+                n += len(at)
+                if n >= HELD:
+                    yield from _dealt(held, names, ("rank", "body"), _reach, ranges)
+                    held, n = [], 0
+        if held:
+            yield from _dealt(held, names, ("rank", "body"), _reach, ranges)
 
-    names = ["rank", "body", "doc", "hash", "place", "lo", "hi"]
     sent = _keyed(docs).mapInArrow(lean(local), "part int, " + ", ".join(f"{n} binary" for n in names))
 
     def settle(batches):
-        for g in _gathered(batches, names):
+        def rows(spans, kind):
+            return pa.RecordBatch.from_arrays([*spans.columns, pa.array(np.full(spans.num_rows, kind, np.int8))], names=[*spans.schema.names, "kind"])
+
+        for part, g in _gathered(batches, names):
+            if part >= ranges:
+                yield rows(_spans_of(g["doc"], g["hash"], g["place"], g["body"].view(np.int64)), 0)
+                continue
             order = np.argsort(g["rank"], kind="stable")
-            r = g["rank"][order]
-            new = _groups(r)
-            size = np.diff(np.append(np.flatnonzero(new), len(r)))
+            size = np.diff(np.append(np.flatnonzero(_groups(g["rank"][order])), len(order)))
             order = order[np.repeat(size > 1, size)]  # a unique prefix is done
             g = {k: v[order] for k, v in g.items()}
             order = np.lexsort((g["place"], g["hash"], g["doc"], g["body"], g["rank"]))
             g = {k: v[order] for k, v in g.items()}
             head = _groups(g["rank"], g["body"])
-            # rows of one place (repeated rows) share the verdict of their first
-            twin = ~_groups(g["rank"], g["body"], g["doc"], g["hash"], g["place"])
-            lead = head.copy()
-            group = np.cumsum(head) - 1
-            firsts = np.flatnonzero(head)
-            f = firsts[group] if len(group) else group
-            lead |= (g["doc"] == g["doc"][f]) & (g["hash"] == g["hash"][f]) & (g["place"] == g["place"][f])
-            dup = ~lead & ~twin
-            start = g["place"] - g["lo"]
-            end = g["place"] - g["hi"].astype(np.int64) + (LENGTH - FIRST) + LENGTH
-            spans = _spans_of(g["doc"][dup], g["hash"][dup], start[dup], end[dup])
-            yield pa.RecordBatch.from_arrays([*spans.columns, pa.array(np.zeros(spans.num_rows, np.int8))], names=[*spans.schema.names, "kind"])
+            dup = _later(g, head)
+            start, end = _reach(g)
+            yield rows(_spans_of(g["doc"][dup], g["hash"][dup], start[dup], end[dup]), 0)
             # the earliest of each body goes on if its prefix has other bodies
             reps = np.flatnonzero(head)
-            newr = _groups(g["rank"][reps])
-            n = np.diff(np.append(np.flatnonzero(newr), len(reps)))
+            n = np.diff(np.append(np.flatnonzero(_groups(g["rank"][reps])), len(reps)))
             on = reps[np.repeat(n > 1, n)]
-            go = _spans_raw(g["doc"][on], g["hash"][on], start[on], end[on] - LENGTH)
-            yield pa.RecordBatch.from_arrays([*go.columns, pa.array(np.ones(go.num_rows, np.int8))], names=[*go.schema.names, "kind"])
+            on = on[np.lexsort((start[on], g["hash"][on], g["doc"][on]))]
+            yield rows(_by_text(g["doc"][on], g["hash"][on], start[on], end[on] - LENGTH), 1)
 
-    ranged = sent.repartition(RANGES, "part").sortWithinPartitions("part")
-    out = materialize(ranged.mapInArrow(lean(settle), SPANS + ", kind tinyint"), "round1")
+    out = materialize(_laid(sent, ranges).mapInArrow(lean(settle), SPANS + ", kind tinyint"), "round1")
     return out.filter("kind = 0").drop("kind"), out.filter("kind = 1").drop("kind")
 
 
-def _spans_raw(doc, hash_, start, end) -> pa.RecordBatch:
-    """(doc, hash, starts, ends): one row for each text, with its ranges of starts as they are."""
-    order = np.lexsort((start, hash_, doc))
-    doc, hash_, start, end = doc[order], hash_[order], start[order], end[order]
-    edge = np.append(np.flatnonzero(_groups(doc, hash_)), len(doc)).astype(np.int32)
-    lists = lambda x: pa.ListArray.from_arrays(pa.array(edge), pa.array(x.astype(np.int64)))
-    return pa.RecordBatch.from_arrays([pa.array(doc[edge[:-1]]), pa.array(hash_[edge[:-1]]), lists(start), lists(end)], names=["doc", "hash", "starts", "ends"])
-
-
 def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     """(doc_id, hash, text, starts, ends): texts with all their span lists."""
     lists = spans.groupBy("doc", "hash").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
@@ -229,10 +269,13 @@ def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _round2(docs: DataFrame, on: DataFrame) -> DataFrame:
+def _round2(docs: DataFrame, on: DataFrame, ranges: int) -> DataFrame:
     """Spans of the strings that the remaining anchors share."""
+    names = ["rank", "body", "doc", "hash", "place"]
+    whole = lambda g: (g["place"], g["place"] + LENGTH)
 
     def local(batches):
+        held, m = [], 0
         for b in slices(batches, 4 * ROWS):
             ids, hash_ = _keys(b)
             starts, so = _lists(b.column(3))
@@ -248,35 +291,40 @@ def _round2(docs: DataFrame, on: DataFrame) -> DataFrame:
                 p = off[who] + at
                 left, right = hashes.of(p, p + FIRST), hashes.of(p + FIRST, p + LENGTH)
                 rank = mix(left ^ (right * np.uint64(0x9FB21C651E98DF25)))
-                yield _deal(rank, {"doc": ids[row + who], "hash": hash_[row + who], "place": at})
-
-    names = ["rank", "doc", "hash", "place"]
-    sent = _with_spans(docs, on, "inner").mapInArrow(lean(local), "part int, " + ", ".join(f"{n} binary" for n in names))
+                held.append({"rank": rank, "doc": ids[row + who], "hash": hash_[row + who], "place": at})
+                m += len(at)
+                if m >= HELD:
+                    yield from _dealt(held, names, ("rank",), whole, ranges)
+                    held, m = [], 0
+        if held:
+            yield from _dealt(held, names, ("rank",), whole, ranges)
 
     def settle(batches):
-        for g in _gathered(batches, names):
+        for part, g in _gathered(batches, names):
+            if part >= ranges:
+                yield _spans_of(g["doc"], g["hash"], g["place"], g["body"].view(np.int64))
+                continue
             order = np.argsort(g["rank"], kind="stable")
             size = np.diff(np.append(np.flatnonzero(_groups(g["rank"][order])), len(order)))
             order = order[np.repeat(size > 1, size)]
-            g = {k: v[order] for k, v in g.items()}
+            g = {k: g[k][order] for k in ("rank", "doc", "hash", "place")}
             order = np.lexsort((g["place"], g["hash"], g["doc"], g["rank"]))
             g = {k: v[order] for k, v in g.items()}
-            head = _groups(g["rank"])
-            f = np.flatnonzero(head)[np.cumsum(head) - 1] if len(order) else order
-            dup = ~((g["doc"] == g["doc"][f]) & (g["hash"] == g["hash"][f]) & (g["place"] == g["place"][f]))
+            dup = _later(g, _groups(g["rank"]))
             yield _spans_of(g["doc"][dup], g["hash"][dup], g["place"][dup], g["place"][dup] + LENGTH)
 
-    ranged = sent.repartition(RANGES, "part").sortWithinPartitions("part")
-    return materialize(ranged.mapInArrow(lean(settle), SPANS), "round2")
+    sent = _with_spans(docs, on, "inner").mapInArrow(lean(local), "part int, " + ", ".join(f"{n} binary" for n in names))
+    return materialize(_laid(sent, ranges).mapInArrow(lean(settle), SPANS), "round2")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, hash, text, starts, ends) of each row of docs: byte spans to remove, not yet merged (null if none)."""
     spark = docs.sparkSession
     small_batches(spark)
-    sure, on = _round1(docs)
+    ranges = ranges_of(docs)
+    sure, on = _round1(docs, ranges)
     release(spark)
-    rest = _round2(docs, on)
+    rest = _round2(docs, on, ranges)
     release(spark)
     return _with_spans(docs, sure.unionByName(rest), "left")
 
