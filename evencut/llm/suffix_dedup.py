@@ -17,7 +17,7 @@ earliest are repeats wherever else they occur, so a passage that a third of all
 position for each HELD to its range. Positions whose prefix is shared but whose strings differ all go there.
 
 Null texts are empty; texts shorter than LENGTH repeat nothing; rows that share doc_id and text are the
-same place, so none of them is earlier, and rows that share only doc_id are ordered by a hash of the text;
+same place, so none of them is earlier, and rows that share only doc_id are told apart and ordered by 40 bits of a hash of the text;
 a null doc_id comes first. An empty table gives an empty result. Only doc_id and text are read.
 """
 
@@ -92,16 +92,26 @@ def ranges_of(docs: DataFrame) -> int:
     return max(RANGES, -(-int(total) // RANGE_BYTES))
 
 
+def _planes(v: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones and so on: high bytes of ids and places compress to almost nothing."""
+    return v.view(np.uint8).reshape(len(v), v.itemsize).T.tobytes()
+
+
+def _numbers(planes: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _deal(g: dict[str, np.ndarray | None], ranges: int) -> pa.RecordBatch:
     """A row of byte strings for each range of ranks; a column that is None is empty."""
-    part = (g["rank"] >> np.uint64(32)).astype(np.int64) * ranges >> 32
+    part = (mix(g["rank"]) >> np.uint64(32)).astype(np.int64) * ranges >> 32  # mixed, as anchors have small ranks
     order = np.argsort(part, kind="stable")
     kept, edges = np.unique(part[order], return_index=True)
     edges = [*edges.tolist(), len(part)]
     cols = [pa.array(kept, pa.int32())]
     for v in g.values():
         v = v[order] if v is not None else np.zeros(0, np.uint8)
-        cols.append(pa.array([v[x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)], pa.binary()))
+        cols.append(pa.array([_planes(v[x:y]) for x, y in zip(edges, edges[1:], strict=False)], pa.binary()))
     return pa.RecordBatch.from_arrays(cols, names=["part", *g])
 
 
@@ -115,18 +125,19 @@ def _later(g: dict[str, np.ndarray], head: np.ndarray) -> np.ndarray:
 
 def _dealt(held: list[dict[str, np.ndarray]], names: list[str], keys: tuple[str, ...], reach, ranges: int):
     """What a task sends of the positions it holds: the earliest of each class, and in a part of its own the spans (place to body) of the others."""
-    g = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-    order = np.lexsort((g["place"], g["hash"], g["doc"], *[g[k] for k in reversed(keys)]))
-    g = {k: v[order] for k, v in g.items()}
+    every = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+    order = np.lexsort((every["place"], every["hash"], every["doc"], *[every[k] for k in reversed(keys)]))
+    g = {k: v[order] for k, v in every.items()}
     head = _groups(*[g[k] for k in keys])
     dup = _later(g, head)
     if dup.any():
         start, end = reach({k: v[dup] for k, v in g.items()})
         doc, hash_, start, end = _merged(g["doc"][dup], g["hash"][dup], start, end)
         sure = {"rank": hash_[:0], "body": end, "doc": doc, "hash": hash_, "place": start}
-        cells = [pa.array([sure[k].tobytes() if k in sure else b""], pa.binary()) for k in names]
+        cells = [pa.array([_planes(sure[k]) if k in sure else b""], pa.binary()) for k in names]
         yield pa.RecordBatch.from_arrays([pa.array([ranges + int(hash_[0]) % ranges], pa.int32()), *cells], names=["part", *names])
-    yield _deal({k: g[k][head] if k in g else None for k in names}, ranges)
+    first = np.sort(order[head])  # in the order of the texts
+    yield _deal({k: every[k][first] if k in every else None for k in names}, ranges)
 
 
 def _laid(sent: DataFrame, ranges: int) -> DataFrame:
@@ -149,7 +160,7 @@ def _gathered(batches, names: list[str]):
     now, held = None, []
 
     def joined(rows):
-        return {n: np.concatenate([np.frombuffer(r[i], COLUMNS[n]) for r in rows]) for i, n in enumerate(names)}
+        return {n: np.concatenate([_numbers(r[i], COLUMNS[n]) for r in rows]) for i, n in enumerate(names)}
 
     for b in batches:
         cols = [c.to_pylist() for c in b.columns]
@@ -193,7 +204,7 @@ SPANS = "doc long, hash long, starts array<long>, ends array<long>"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text")
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 40) - 1)).alias("hash"), "text")
 
 
 def _reach(g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
