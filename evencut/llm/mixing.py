@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evencut.llm.common import WORD, materialize
+from evencut.llm.common import WORD, free_name, materialize
 
 WEIGHTS, MOST, BLOCK, MAX_SOURCES = (5, 2, 1), 3, 4096, 1_000_000
 GOLDEN = 0x9E3779B97F4A7C15  # 2**64 over the golden ratio
@@ -159,9 +159,8 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     m = mix(docs, **settings).filter("taken > 0").select("doc_id", "h", (F.col("taken") / F.col("size")).alias("rate"))
     coin = F.pmod(F.xxhash64(F.lit("copy"), "doc_id", "h"), F.lit(1 << 30)) / float(1 << 30)
     times = m.groupBy("doc_id", "h").agg(F.max("rate").alias("rate")).select("doc_id", "h", F.floor(F.col("rate") + coin).cast("int").alias("times")).filter("times > 0")
-    cols = docs.columns
-    key = "_mix_key"
-    keyed = docs.withColumn(key, F.xxhash64(F.lit("mix"), "doc_id", "text"))
-    t = times.select(F.col("doc_id").alias("_mix_doc"), F.col("h").alias("_mix_h"), "times")
-    out = keyed.join(t, (keyed[key] == t._mix_h) & keyed.doc_id.eqNullSafe(t._mix_doc))
-    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*cols)
+    names = [free_name(docs.columns, x) for x in ("mix_doc", "mix_key", "mix_times", "mix_copy")]
+    doc, key, n, copy = names
+    t = times.select(F.col("doc_id").alias(doc), F.col("h").alias(key), F.col("times").alias(n))
+    out = docs.join(t, (F.xxhash64(F.lit("mix"), docs["doc_id"], docs["text"]) == t[key]) & docs["doc_id"].eqNullSafe(t[doc]))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(*names)

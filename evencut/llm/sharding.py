@@ -60,10 +60,11 @@ class ShardStore:
 
     def _describe(self, path: str, schema, born: int) -> DataFrame:
         back = self.spark.read.schema(schema).parquet(path)
-        first = F.min(F.col(schema.names[0]).cast("string")) if schema.names else F.lit(None)
-        meta = back.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_size").alias("__bytes"))
-        found = meta.groupBy("__path", "__bytes").agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in schema.names]).cast("decimal(38,0)")).alias("check"), first.alias("first_id"))
-        return found.select(F.col("__path").alias("path"), "rows", F.col("__bytes").alias("bytes"), "check", F.col("first_id").cast("string"), F.lit(born).cast("long").alias("born"))
+        first = F.col(f"`{schema.names[0]}`") if schema.names else F.lit(None)
+        check = F.xxhash64(*[F.col(f"`{c}`") for c in schema.names]).cast("decimal(38,0)")
+        meta = back.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), check.alias("h"), first.cast("string").alias("id"))
+        found = meta.groupBy("path", "bytes").agg(F.count("*").alias("rows"), F.sum("h").alias("check"), F.min("id").alias("first_id"))
+        return found.select("path", "rows", "bytes", "check", "first_id", F.lit(born).cast("long").alias("born"))
 
     def append(self, df: DataFrame) -> int:
         """Adds the rows of df as small shards; the new version."""

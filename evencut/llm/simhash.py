@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evencut.llm.common import lean, materialize, slices
+from evencut.llm.common import free_name, lean, materialize, slices
 
 SHINGLE, DISTANCE, BLOCKS, PIVOTS, LARGE = 4, 4, 6, 16, 4096
 
@@ -194,13 +194,14 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs."""
+def groups(docs: DataFrame, distance: int = DISTANCE, order=lambda c: c) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of docs; order maps an id to what the smallest id is smallest by."""
     prints = materialize(fingerprints(docs), "prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    smallest = lambda c: F.min_by(c, order(F.col(c)))
+    distinct = materialize(prints.groupBy("fp").agg(smallest("doc_id").alias("rep")), "distinct")
     found = components(links(distinct.select("fp"), distance))
     rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = rooted.groupBy("root").agg(smallest("rep").alias("component_id"))
     by_print = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
@@ -210,7 +211,12 @@ def hexed(fp):
 
 
 def first_documents(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component: that of its smallest doc_id. Rows without an id are kept once for each component of such rows alone."""
-    kept = groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    cols = docs.columns
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._first), "left_semi").dropDuplicates(["doc_id"]).select(*cols)
+    """One row of docs for each component: of the rows with its smallest doc_id, one of those whose text has the smallest hash; that row's repeats count as one."""
+    rows = docs.select("doc_id", "text")
+    of = groups(rows.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text"), order=lambda c: F.struct(c["doc_id"].isNull(), c))
+    kept = of.select("component_id.doc_id", "component_id.h").distinct()
+    keys = (free_name(docs.columns, "first_doc"), free_name(docs.columns, "first_text"))
+    kept = kept.select(*[F.col(c).alias(k) for c, k in zip(kept.columns, keys, strict=True)])
+    same = docs["doc_id"].eqNullSafe(kept[keys[0]]) & (F.xxhash64(docs["text"]) == kept[keys[1]])
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.join(kept, same, "left_semi").withColumn(keys[1], F.xxhash64("text")).dropDuplicates(["doc_id", keys[1]]).select(*cols)

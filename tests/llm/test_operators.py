@@ -89,6 +89,28 @@ def test_simhash(docs, empty):
     assert simhash.groups(empty).count() == 0
 
 
+def test_first_documents_with_null_and_shared_ids(spark):
+    rng = random.Random(3)
+    a, b, c, e = (prose(rng, 80) for _ in range(4))
+    data = [(None, a, 1), (None, b, 2), (None, b, 3), (4, c, 4), (4, e, 5), (9, c, 6), (None, c, 7)]
+    d = spark.createDataFrame(data, "doc_id long, text string, first_text int")
+    kept = simhash.first_documents(d)
+    assert kept.columns == d.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(got, key=repr) == sorted([(None, a), (None, b), (4, c), (4, e)], key=repr)
+
+
+def test_names_of_own_columns_may_be_taken(spark, docs, tmp_path):
+    own = ("times", "h", "_mix_key", "mix_key", "MIX_COPY", "first_doc", "_first", "rules_key", "rules_stats", "n_words", "__path", "path", "rows", "fp")
+    wide = docs.selectExpr("*", *[f"{i} AS `{n}`" for i, n in enumerate(own)])
+    assert mixing.mixed_documents(wide).columns == wide.columns
+    assert sorted(r.doc_id or 0 for r in mixing.mixed_documents(wide).collect()) == sorted(r.doc_id or 0 for r in mixing.mixed_documents(docs).collect())
+    assert simhash.first_documents(wide).columns == quality_rules.kept_documents(wide).columns == wide.columns
+    assert simhash.first_documents(wide).count() == simhash.first_documents(docs).count()
+    assert quality_rules.kept_documents(wide).count() == quality_rules.kept_documents(docs).count()
+    assert sharding.store_and_locate(spark, wide, str(tmp_path / "w")).count() == wide.count()
+
+
 def test_key_masks_miss_no_pair():
     rng = random.Random(1)
     for blocks in (5, 6, 8):
