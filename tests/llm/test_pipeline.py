@@ -1,19 +1,171 @@
-"""The stages over the smallest tables."""
+"""The stages over the smallest tables, and each against a plain version of it."""
+
+import collections
+import math
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from evencut.llm import mixing, quality_rules
 from evencut.llm.common import materialize
 
 DATA = "/root/testdata/sf0.001"
 
 
-def test_stages(spark):
+@pytest.fixture(scope="module")
+def stages(spark):
+    """The rows before the first stage and after each."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    columns = docs.columns
-    assert len(corpus_pipeline.STAGES) == 5
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs
+    out = [docs]
+    for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, DATA), "test")
-        assert docs.columns == columns and docs.count() > 0, name
-        assert docs.join(before, "doc_id", "left_anti").count() == 0
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
-    assert last.count() == docs.count() and "shard_id" in last.columns
+        out.append(docs)
+    return [(d.columns, d.collect()) for d in out]
+
+
+def texts(rows):
+    return collections.Counter((r.doc_id, r.text) for r in rows)
+
+
+def test_stages(stages):
+    assert len(corpus_pipeline.STAGES) == 5
+    for columns, rows in stages[:-1]:
+        assert columns == stages[0][0] and rows
+    assert len(stages[-1][1]) == len(stages[-2][1]) and "shard_id" in stages[-1][0]
+
+
+def vector(text):
+    """(words, fails the base rules, transformed statistics) of a text."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    at = collections.defaultdict(list)
+    for k in range(len(words) - 2):
+        at[tuple(words[k : k + 3])].append(k)
+    repeated = len({k + j for v in at.values() if len(v) > 1 for k in v for j in range(3)})
+    n, m = max(len(words), 1), max(len(lines), 1)
+    symbols = sum(c in "#*$%&|<>" for c in text or "")
+    x = [math.log(max(sum(map(len, words)), 1) / n), math.log1p(10 * symbols / n), math.asin(math.sqrt((len(lines) - len(set(lines))) / m)), math.asin(math.sqrt(min(1, repeated / n)))]
+    return len(words) < 50 or 100 * repeated > 50 * len(words), np.array(x)
+
+
+def robust(x):
+    """Location and scatter of the rows of x, by the same concentration steps."""
+    at = lambda v, q: np.sort(v)[max(0, math.ceil(q * len(v)) - 1)]
+    floors = np.diag(np.square(quality_rules.FLOORS))
+    mean, cov = np.array([at(c, 0.5) for c in x.T]), floors
+    for _ in range(quality_rules.STEPS):
+        z = x - mean
+        d = np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z)
+        half = x[d <= at(d, quality_rules.HALF) * (1 + 1e-12)]
+        mean = half.mean(axis=0)
+        cov = half.T @ half / len(half) - np.outer(mean, mean) + floors
+    return mean, np.linalg.inv(cov)
+
+
+def test_quality_stage(stages):
+    judged = [(r, *vector(r.text)) for r in stages[0][1]]
+    groups = collections.defaultdict(list)
+    for r, failed, x in judged:
+        if not failed:
+            for level in ((r.lang, r.source), (r.lang,), ()):
+                groups[level].append(x)
+    fits = {k: robust(np.array(v)) for k, v in groups.items()}
+    keep = []
+    for r, failed, x in judged:
+        if failed:
+            continue
+        level = next(k for k in ((r.lang, r.source), (r.lang,), ()) if not k or len(groups.get(k, ())) >= quality_rules.MIN_GROUP)
+        mean, inverse = fits[level]
+        if (x - mean) @ inverse @ (x - mean) <= quality_rules.CUTOFF:
+            keep.append(r)
+    assert texts(stages[1][1]) == texts(keep) and 0 < len(keep) < len(judged)
+
+
+def test_near_dedup_stage(stages):
+    rows, prints = stages[1][1], []
+    for r in rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode().lower())
+        h = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 4]), 42) for k in range(max(1, len(w) - 3))] if w else []
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                a, b = top(i), top(j)
+                a, b = (a, b) if rows[a].doc_id < rows[b].doc_id else (b, a)
+                root[b] = a
+    assert texts(stages[2][1]) == texts(rows[i] for i in range(len(rows)) if top(i) == i)
+    assert len(stages[2][1]) < len(rows)
+
+
+def test_decontamination_stage(spark, stages):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = lambda t: re.sub("[A-Z]+", lambda m: m[0].lower(), t)
+    told = set()
+    for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect():
+        w = word.findall(lower(r.text or ""))
+        told |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9) if w else 0)}
+    want, cut = collections.Counter(), 0
+    for r in stages[2][1]:
+        spans = [m.span() for m in word.finditer(lower(r.text or ""))]
+        w = [lower(r.text)[a:b] for a, b in spans]
+        hit = [False] * len(w)
+        for n in {len(x) for x in told}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in told:
+                    hit[k : k + n] = [True] * n
+        gone = set()
+        for k, (a, b) in enumerate(spans):
+            if hit[k]:
+                # what lies between two words goes if one occurrence, or two that touch, cover both
+                gone |= set(range(a, b)) | (set(range(b, spans[k + 1][0])) if k + 1 < len(w) and hit[k + 1] else set())
+        cut += bool(gone)
+        want[r.doc_id, "".join(c for i, c in enumerate(r.text) if i not in gone) if gone else r.text] += 1
+    assert texts(stages[3][1]) == want and cut > 0
+
+
+def test_source_mix_stage(spark, stages):
+    rows = spark.createDataFrame(stages[3][1], ", ".join(f"`{c}` {t}" for c, t in spark.read.parquet(f"{DATA}/documents.parquet").dtypes))
+    coin = F.pmod(F.xxhash64(F.lit("copy"), "doc_id", "h"), F.lit(1 << 30)) / float(1 << 30)
+    seen = rows.select("doc_id", "text", "source", F.xxhash64(F.lit("mix"), "doc_id", "text").alias("h")).select("*", coin.alias("coin")).collect()
+    by = collections.defaultdict(list)
+    for r in seen:
+        by[r.source].append(r)
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    size = {(r.doc_id, r.h): len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in seen}
+    total = {s: sum(size[r.doc_id, r.h] for r in by[s]) for s in names}
+    weight, left, goal = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, sum(total.values()), {}
+    while len(goal) < len(names):  # settle the sources above their limit, then share the rest
+        free = [s for s in names if s not in goal]
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * total[s]]
+        goal |= {s: 3 * total[s] for s in over} if over else share
+        left -= sum(3 * total[s] for s in over)
+    want = collections.Counter()
+    for s in names:
+        words = [r for r in sorted(by[s], key=lambda r: (r.h, r.doc_id)) for _ in range(size[r.doc_id, r.h])]
+        bucket = max(1, -(-len(seen) // mixing.ROWS_PER_BUCKET))
+        assert bucket == 1  # one bucket: the shuffled order is that of h
+        take = min(round(goal[s]), 3 * total[s])
+        taken = collections.Counter((words[k % total[s]].doc_id, words[k % total[s]].h) for k in range(take)) if total[s] else {}
+        for r in by[s]:
+            n = size[r.doc_id, r.h]
+            if n:
+                want[r.doc_id, r.text] += math.floor(taken.get((r.doc_id, r.h), 0) / n + r.coin)
+    assert texts(stages[4][1]) == +want
+
+
+def test_sharding_stage(stages):
+    assert collections.Counter(r.doc_id for r in stages[5][1]) == collections.Counter(r.doc_id for r in stages[4][1])
+    inside = collections.Counter(r.shard_id for r in stages[5][1])
+    assert all(r.shard_rows == inside[r.shard_id] for r in stages[5][1]) and len({r.version for r in stages[5][1]}) == 1
