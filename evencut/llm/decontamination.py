@@ -6,8 +6,9 @@ no phrase can occur there. Phrases (WINDOW consecutive words of an item; a short
 are searched backward, all at once, through ranks of a wavelet matrix over the Burrows-Wheeler transform;
 occurrences are located by walking to sampled suffix positions. Hit words merge into spans.
 
-Benchmark items are taken in blocks of about BLOCK bytes of text; each block is a broadcast of bounded
-size that is searched for by itself, and what the blocks find is joined text by text.
+Benchmark items are taken in blocks of about BLOCK bytes of text, at some 100 bytes of memory a byte where
+a block's phrases are told apart and 8 where they are searched; each block is a broadcast of bounded size
+that is searched for by itself, and what the blocks find is joined text by text.
 
 Null or word-less texts and items have no windows; windows that several items share count for each;
 repeated rows are searched alike; empty tables give no hits. A result column never takes the name of an
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from evencut.llm.common import ALNUM, LOWER, Hashes, chunks, free_name, lean, owner, slices, spans, with_column
 
-WINDOW, SHARD, BLOCK, SAMPLE = 10, 8 << 20, 32 << 20, 8
+WINDOW, SHARD, BLOCK, SAMPLE = 10, 8 << 20, 4 << 20, 8
 
 FOUND = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -238,6 +239,8 @@ def _searched(held, col: pa.Array, shard: int) -> list[dict]:
     for phrases in held:
         made = [x for _, data, off in chunks(col, shard) for x in search_shard(phrases.value, data, off)]
         found = made if found is None else [_joined(x, y) for x, y in zip(found, made, strict=True)]
+        if len(held) > 1 and getattr(phrases, "_path", None):  # a worker holds one block at a time, and loads it again for the next shard
+            vars(phrases).pop("_value", None)
     return found
 
 
