@@ -3,8 +3,9 @@
 Base rules reject texts of under MIN_WORDS words, or whose repeated three-word windows hold over half of
 their words. The others are judged in their group of language and source: a minimum-covariance-determinant
 estimate of location and scatter of transformed statistics, found by concentration steps from medians (a
-step keeps the HALF of a group with the smallest distances and estimates anew), rejects vectors whose
-Mahalanobis distance exceeds CUTOFF. A group of under MIN_GROUP rows uses its language's estimate, a
+step keeps the HALF of a group with the smallest distances and estimates anew, its scatter times CONSISTENT,
+which makes up for the tails of a normal that a half leaves out), rejects vectors whose squared Mahalanobis
+distance exceeds CUTOFF; just under half of a group may be junk before that moves the estimate. A group of under MIN_GROUP rows uses its language's estimate, a
 language of so few the estimate over all rows. Variances have FLOORS, as most texts have no symbols or
 repeats at all and an exact half would have no scatter.
 
@@ -22,10 +23,11 @@ from pyspark.sql import functions as F
 
 from evencut.llm.common import WORD, free_name, materialize
 
-MIN_WORDS, HALF, STEPS, MIN_GROUP = 50, 0.75, 3, 100
+MIN_WORDS, HALF, STEPS, MIN_GROUP = 50, 0.5, 3, 100
 NAMES = ("word_len", "symbols", "dup_lines", "repeats")
 FLOORS = (0.08, 0.10, 0.20, 0.12)
 CUTOFF = 60.0
+CONSISTENT = 2.1090630406  # HALF / P(chi-square of 6 degrees <= the median of one of 4): normal scatter over that of its inner half
 SYMBOLS = "#*$%&|<>"
 
 
@@ -104,7 +106,7 @@ def _factors(grouped: DataFrame) -> DataFrame:
     out = grouped
     for i in p:
         for j in range(i + 1):
-            out = out.withColumn(f"c{i}{j}", F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0)))
+            out = out.withColumn(f"c{i}{j}", F.lit(CONSISTENT) * (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0)))
     low = _cholesky(lambda i, j: F.col(f"c{i}{j}"))
     return out.select("level", "lang", "source", "n", *[f"m{i}" for i in p], *[low[i][j].alias(f"l{i}{j}") for i in p for j in range(i + 1)])
 

@@ -218,6 +218,18 @@ def test_repeat_words_and_lines(spark):
     assert (r.n_words, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (11, 2, 1, 6)
 
 
+def test_quality_rules_with_much_junk_in_a_group(spark):
+    rng = random.Random(5)
+    data = []
+    for source, share in (("none", 0), ("third", 30), ("more", 40)):
+        for i in range(300):
+            junk = i % 100 < share
+            data.append((len(data), "en", source, 200, rng.randrange(900, 1100), rng.randrange(150, 170) if junk else rng.choice([0, 0, 0, 1]), 9, 0, rng.randrange(3), junk))
+    columns = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, junk boolean"
+    got = quality_rules.judged(spark.createDataFrame(data, columns)).collect()
+    assert len(got) == len(data) and all(r.kept != r.junk for r in got)
+
+
 def _labels(spark, docs, column, rule):
     return spark.createDataFrame([(r.doc_id, rule(r)) for r in docs.collect()] + [(None, 1), (7, None)], f"doc_id long, {column} int")
 
