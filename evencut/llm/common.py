@@ -189,11 +189,11 @@ def held_out(id_col: str, mod: int, rest: int):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(mod)) == rest
 
 
-def training(labels: DataFrame, target: str, most: int, held) -> DataFrame:
-    """(doc_id, y): labelled rows outside the held-out part, one per doc_id; of more than most, those whose hash falls under most / count."""
+def training(labels: DataFrame, target: str, most: int | None, held) -> DataFrame:
+    """(doc_id, y): labelled rows outside the held-out part, one per doc_id; of more than most (if given), those whose hash falls under most / count."""
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~F.coalesce(held, F.lit(True)))
     rows = rows.groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
-    n = rows.count()
-    if n > most:
+    n = rows.count() if most is not None else 0
+    if most is not None and n > most:
         rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / n))
     return rows

@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from evencut.llm import decontamination, html_text, language, mixing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, toxicity
+from evencut.llm.common import Hashes, held_out
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, found string"
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa".split()
@@ -251,6 +253,45 @@ def test_toxicity_and_quality_learn(spark, empty):
         assert scores(d, labels.limit(0)).count() == len(data) and scores(empty, labels).count() == 0
 
 
+def test_toxicity_counts_are_exact(spark):
+    rng = random.Random(11)
+    slot, pair = {}, None
+    while pair is None:  # two words that a table of 2^18 slots holds in one
+        w = "".join(rng.choice("abcdefghij") for _ in range(5))
+        h = int(Hashes(np.frombuffer(w.encode(), np.uint8)).of(np.array([0]), np.array([5]))[0]) >> 46
+        pair = (slot[h], w) if slot.get(h, w) != w else None
+        slot[h] = w
+    data = [(i, " ".join(f"{rng.choice(WORDS)}{rng.randrange(900)} {pair[i % 3 > 0]}" for _ in range(12)), int(i % 3 == 0)) for i in range(300)]
+    d = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    fold = F.expr("pmod(xxhash64('calibrate', doc_id), 5L) = 0")
+    used = {r.doc_id for r in d.filter(~fold & ~held_out("doc_id", 5, 0)).collect()}
+    stem, uni, bi = (collections.Counter() for _ in range(3))
+    for i, t, y in data:
+        w = t.split()
+        for a, b in zip(["", *w], w, strict=False):
+            if i in used:
+                stem[b[:5], y], uni[b, y], bi[a, b, y] = stem[b[:5], y] + 1, uni[b, y] + 1, bi[a, b, y] + 1
+    before = collections.Counter(b for _, b in {(a, b) for a, b, _ in bi})
+    total = [sum(n for (_, y), n in uni.items() if y == c) for c in (0, 1)]
+    rest, k = sum(before.values()) + 0.5 * len(before) + 0.5, toxicity.TRUST
+
+    def evidence(a, b):
+        p = []
+        for c in (0, 1):
+            share = total[c] / sum(total)
+            s = (stem[b[:5], c] + k) / ((stem[b[:5], 0] + stem[b[:5], 1]) * share + k)
+            e = total[c] * ((1 - toxicity.FRESH) * (uni[b, 0] + uni[b, 1]) / sum(total) + toxicity.FRESH * (before[b] + 0.5) / rest)
+            u = s * (uni[b, c] + k) / (e * s + k)
+            p.append(u * (bi[a, b, c] + k) / ((bi[a, b, 0] + bi[a, b, 1]) * share * u + k))
+        r = np.log(p[1] / p[0])
+        return np.sign(r) * max(abs(r) - toxicity.TELLING, 0)
+
+    for r in toxicity.scores(d.select("doc_id", "text"), d.select("doc_id", "toxic")).collect():
+        w = data[r.doc_id][1].split()
+        assert np.isclose(r.evidence, sum(evidence(a, b) for a, b in zip(["", *w], w, strict=False)) / (len(w) + toxicity.PRIOR_WORDS))
+        assert r.predicted == data[r.doc_id][2]
+
+
 def _vocabulary(tmp_path):
     import base64
 
