@@ -4,7 +4,9 @@ The pieces are the lower-case letter pieces of a fixed public byte-level vocabul
 trained here); each language has a probability for each piece. A forward pass sums the probabilities of
 all segmentations of a word into pieces, for all languages at once, and a text's score is the product
 over its words. Piece probabilities are fitted by expectation maximisation over all segmentations (forward
-and backward) on at most TRAIN_ROWS rows (those of smallest hash). Words of a batch are scored once each.
+and backward) on some TRAIN_ROWS rows, dealt over all languages of the table: each keeps all of its rows up to
+a bound that the languages share, which is LEAST or more, and above it those of smallest hash, one at least.
+Words of a batch are scored once each.
 
 A text that is null or has no letter is `und` with score 0, as is every text if no language was learned.
 Rows of null lang teach nothing; repeated rows are predicted alike; ties go to the first language by code
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from evencut.llm.common import LOWER, Hashes, buffer, chunks, held_out, lean, owner, slices, spans
 
-TRAIN_ROWS, LONGEST, MOST, ROUNDS, SMOOTH = 8000, 10, 31, 2, 0.05
+TRAIN_ROWS, LEAST, LONGEST, MOST, ROUNDS, SMOOTH = 8000, 200, 10, 31, 2, 0.05
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = LETTER[128:] = True
 
@@ -190,14 +192,28 @@ def _normalised(counts: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=0, keepdims=True)
 
 
+def shared_bound(counts: list[int], most: int) -> int:
+    """The largest bound on the rows of each language with which all keep at most most rows together; LEAST at least."""
+    left, bound = most, 0
+    for i, n in enumerate(sorted(counts)):
+        bound = left // (len(counts) - i)
+        if n > bound:
+            return max(bound, LEAST)
+        left -= n
+    return max(*counts, LEAST) if counts else LEAST
+
+
 def fit(docs: DataFrame, path: str | None = None, most: int = TRAIN_ROWS) -> Model:
     """The model of the rows of docs that are not held out and have a lang."""
     spark = docs.sparkSession
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out("doc_id", 4, 2), F.lit(True))).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    n = rows.select("lang").count()
-    if n > most:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / n))
-    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())  # most rows at most
+    at = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(at).alias("first")).collect()  # a row for each language
+    langs = sorted(r.lang for r in found)
+    bound = shared_bound([r.n for r in found], most)
+    if any(r.n > bound for r in found):
+        under = [(r.lang, max(r.first + 1, int((1 << 30) * min(1.0, bound / r.n)))) for r in found]
+        rows = rows.join(F.broadcast(spark.createDataFrame(under, "lang string, under long")), "lang").filter(at < F.col("under")).select("doc_id", "text", "lang")
     pieces = Pieces(path)
     size = len(pieces.pieces) + 1
     model = Model(pieces, langs, np.full((size, max(1, len(langs))), 1.0 / size))

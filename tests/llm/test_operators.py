@@ -309,6 +309,19 @@ def test_language(spark, empty, tmp_path):
     assert language.predict(empty, path).count() == 0
 
 
+def test_rare_languages_are_learned(spark, tmp_path):
+    path = _vocabulary(tmp_path)
+    texts = {"en": "the then they other the", "fr": "le les elle la le", "xx": "zq qz zzq qqz", "yy": "wv vw wwv vvw"}
+    langs = ["en"] * 3000 + ["fr"] * 900 + ["xx"] * 8 + ["yy"] * 300
+    data = [(i if x != "yy" else 7001, texts[x], x) for i, x in enumerate(langs)]  # all rows of yy share an id
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    assert d.filter(~held_out("doc_id", 4, 2) & (F.col("doc_id") == 7001)).count() == 300
+    assert language.fit(d, path, 40).langs == ["en", "fr", "xx", "yy"]
+    got = language.predict(d, path, 40).select("doc_id", "lang_pred").distinct().collect()
+    assert all(r.lang_pred == ("yy" if r.doc_id == 7001 else langs[r.doc_id]) for r in got)
+    assert language.shared_bound([5000, 10, 6000], 8000) == 3995 and language.shared_bound([5, 7], 8000) >= 7
+
+
 def test_forward_sums_all_segmentations(tmp_path):
     p = language.Pieces(_vocabulary(tmp_path))
     prob = np.zeros((len(p.pieces) + 1, 1))
