@@ -4,18 +4,21 @@ Sources get shares of all words by weight; what a share exceeds `most` times its
 Each source's documents are shuffled by hash, laid end to end and cut into equal-token blocks. The slots
 of the schedule are golden-ratio points mapped through the cumulative slot counts of the sources; the
 r-th slot of a source takes its block r mod n, and the last slot is cut so that the target is met to a
-word. Positions come from per-bucket sums, so that no source is ever ordered in one task.
+word. Positions come from per-bucket sums, so that no source is ever ordered in one task; a block of
+thousands of tiny documents is dealt to SALTS tasks.
 
-Null texts have size 0; a null source is a source of its own, last; identical rows count as rows of
-their own; empty tables give empty results. Only doc_id, source and text are read, so other columns
+Null texts have size 0; a null source is a source of its own, last; a source without words has target 0 and no slots; identical rows count as rows of
+their own; a text longer than a block lies in several; empty tables give empty results. Only doc_id, source and text are read, so other columns
 can't clash. At most MAX_SOURCES sources (their totals are held by the driver); more raise ValueError.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evencut.llm.common import WORD, free_name, materialize
@@ -24,6 +27,13 @@ WEIGHTS, MOST, BLOCK, MAX_SOURCES = (5, 2, 1), 3, 4096, 1_000_000
 GOLDEN = 0x9E3779B97F4A7C15  # 2**64 over the golden ratio
 ROWS_PER_BUCKET = 20_000
 CHUNK_SLOTS = 1 << 16
+SALTS = 16
+
+
+def shuffle_key(doc_id: Column, text: Column) -> Column:
+    """60 bits of the MD5 of a row's id and text, which any SQL engine can compute."""
+    told = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(told.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -31,7 +41,7 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id", F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit("mix"), "doc_id", "text").alias("h"),
+        shuffle_key(F.col("doc_id"), F.col("text")).alias("h"),
     )
 
 
@@ -66,7 +76,7 @@ class Mix:
         goal = targets(size, [weights[i % len(weights)] for i in range(len(found))], most)
         rows = []
         for i, (r, s, t) in enumerate(zip(found, size, goal, strict=True)):
-            take = min(round(t), most * s)
+            take = min(math.floor(t + 0.5), most * s)
             blocks = max(1, -(-s // block))
             full, rest = divmod(take, s) if s else (0, 0)
             part = next_block(rest, s, blocks)
@@ -77,16 +87,19 @@ class Mix:
 
     def schedule(self) -> DataFrame:
         """(slot, si, rank): slot order and which of its source's slots each is; each source has exactly its number of slots."""
-        spark, quota = self.sources.sparkSession, np.array([r[6] for r in self.table], dtype=np.int64)
-        total = int(quota.sum())
-        edges = np.array([int(x) * (1 << 64) // max(total, 1) for x in np.cumsum(quota)[:-1]], dtype=np.uint64)
+        spark, some = self.sources.sparkSession, [(r[0], r[6]) for r in self.table if r[6]]  # a source without slots has no part of the range
+        total, upto, edges = sum(n for _, n in some), 0, []
+        for _, n in some[:-1]:
+            upto += n
+            edges.append(upto * (1 << 64) // total)
+        edges, which = np.array(edges, dtype=np.uint64), np.array([i for i, _ in some] or [0], dtype=np.int32)
 
         def place(batches):
             for b in batches:
                 t = b.column(0).to_numpy().astype(np.uint64)
                 with np.errstate(over="ignore"):
                     u = (t + np.uint64(1)) * np.uint64(GOLDEN)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.searchsorted(edges, u, "right").astype(np.int32))], names=["slot", "si"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(which[np.searchsorted(edges, u, "right")])], names=["slot", "si"])
 
         dealt = spark.range(total).mapInArrow(place, "slot long, si int").withColumn("chunk", F.floor(F.col("slot") / CHUNK_SLOTS))
         before = Window.partitionBy("si").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -128,7 +141,8 @@ class Mix:
         guess = F.sequence(F.greatest(F.lit(0), first - 1), F.least(F.col("blocks") - 1, last + 1))
         pieces = some.withColumn("block", F.explode(guess)).withColumn("lo", F.expr("block * source_size div blocks")).withColumn("hi", F.expr("(block + 1) * source_size div blocks"))
         pieces = pieces.filter("lo < start + size and hi > start")
-        both = pieces.join(self.uses(), ["si", "block"], "left")
+        uses = self.uses().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = pieces.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(uses, ["si", "block", "salt"], "left")
         over = lambda end: F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), end) - F.greatest(F.col("start"), F.col("lo")))
         got = F.coalesce(F.col("full") * over(F.col("hi")) + over(F.col("lo") + F.col("part")), F.lit(0))
         keys = ["doc_id", "source", "h", "size", "source_size", "target", "si", "start"]
@@ -162,5 +176,5 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     names = [free_name(docs.columns, x) for x in ("mix_doc", "mix_key", "mix_times", "mix_copy")]
     doc, key, n, copy = names
     t = times.select(F.col("doc_id").alias(doc), F.col("h").alias(key), F.col("times").alias(n))
-    out = docs.join(t, (F.xxhash64(F.lit("mix"), docs["doc_id"], docs["text"]) == t[key]) & docs["doc_id"].eqNullSafe(t[doc]))
+    out = docs.join(t, (shuffle_key(docs["doc_id"], docs["text"]) == t[key]) & docs["doc_id"].eqNullSafe(t[doc]))
     return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(*names)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evencut.llm import decontamination, html_text, language, mixing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, toxicity
+from evencut.llm import decontamination, html_text, language, mixing, oracle, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, toxicity
 from evencut.llm.common import new_path, table
 
 
@@ -62,4 +62,4 @@ _ALL = (
     op7_html_text, op8_language_id, op9_suffix_dedup, op10_mixing,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.sqls()

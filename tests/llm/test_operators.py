@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from evencut.llm import decontamination, html_text, language, mixing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, toxicity
-from evencut.llm.common import Hashes, held_out
+from evencut.llm.common import held_out
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, found string"
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa".split()
@@ -171,6 +171,35 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("silent", [["z"], [None], ["a", "b", "z", None], ["a"]])
+def test_mix_of_sources_without_words(spark, silent):
+    rng = random.Random(1)
+    data = [(i, None if s in silent and i % 2 else " " if s in silent else prose(rng, 40), s) for i, s in enumerate(["a", "b", "z", None] * 6)]
+    d = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = mixing.mix(d, block=16).collect()
+    assert len(got) == len(data) and all(r.taken <= 3 * r["size"] for r in got)
+    for s in {r[2] for r in data}:
+        mine = [r for r in got if r.source == s]
+        assert sum(r["size"] for r in mine) == mine[0].source_size and abs(sum(r.taken for r in mine) - mine[0].target) <= 1
+        assert s not in silent or mine[0].target == 0
+    assert mixing.mixed_documents(d).filter("text is null or trim(text) = ''").count() == 0
+
+
+def test_mix_of_very_long_and_repeated_texts(spark):
+    data = [(1, "word " * 60_000, "a"), (2, "tiny", "b"), (2, "tiny", "b"), (3, "one two", "b"), (4, "", "b")]
+    d = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r["size"], r.taken) for r in mixing.mix(d, block=64).collect())
+    assert got == [(1, 60_000, 59_992), (2, 1, 3), (2, 1, 3), (3, 2, 6), (4, 0, 0)]
+
+
+def test_queries_match_sql(spark):
+    from evencut.llm.queries import ORACLE, QUERIES
+    from tests.compare import same
+
+    for name, sql in ORACLE.items():
+        same(spark, name, QUERIES[name], sql)
+
+
 def test_targets():
     assert mixing.targets([10, 1000], [5, 2]) == [30.0, 980.0]
     assert mixing.targets([0, 7], [5, 2]) == [0.0, 7.0]
@@ -253,43 +282,82 @@ def test_toxicity_and_quality_learn(spark, empty):
         assert scores(d, labels.limit(0)).count() == len(data) and scores(empty, labels).count() == 0
 
 
-def test_toxicity_counts_are_exact(spark):
-    rng = random.Random(11)
-    slot, pair = {}, None
-    while pair is None:  # two words that a table of 2^18 slots holds in one
-        w = "".join(rng.choice("abcdefghij") for _ in range(5))
-        h = int(Hashes(np.frombuffer(w.encode(), np.uint8)).of(np.array([0]), np.array([5]))[0]) >> 46
-        pair = (slot[h], w) if slot.get(h, w) != w else None
-        slot[h] = w
-    data = [(i, " ".join(f"{rng.choice(WORDS)}{rng.randrange(900)} {pair[i % 3 > 0]}" for _ in range(12)), int(i % 3 == 0)) for i in range(300)]
+def _plain_kneser_ney(texts, classes, d):
+    """log p_1(w | h) / p_0(w | h) as a function, and both models' p(w | h), from counters and the formulas alone."""
+    big = [collections.Counter(), collections.Counter()]
+    for t, y in zip(texts, classes, strict=True):
+        big[y].update(zip(["", *t], t, strict=False))
+    total = [sum(x.values()) for x in big]
+    large = [toxicity.BIGRAM * d * n / min(total) for n in total]
+    m = [collections.Counter(), collections.Counter()]
+    for c in (0, 1):
+        for (_, w), n in big[c].items():
+            m[c][w] += min(n, large[c])
+    mass = [sum(x.values()) for x in m]
+    small = [d * x / min(mass) for x in mass]
+    back = [sum(min(n, small[c]) for n in m[c].values()) for c in (0, 1)]
+    vocabulary = sorted({*m[0], *m[1]})
+
+    def p(c, h, w):
+        s = (min(m[0][w], small[0]) + min(m[1][w], small[1]) + 0.5) / (sum(back) + 0.5 * (len(vocabulary) + 1))
+        u = (max(m[c][w] - small[c], 0) + back[c] * s) / mass[c]
+        after = {x: n for (g, x), n in big[c].items() if g == h}
+        if not after:
+            return u
+        return (max(after.get(w, 0) - large[c], 0) + sum(min(n, large[c]) for n in after.values()) * u) / sum(after.values())
+
+    return p, vocabulary, total
+
+
+def _insulting(rng, n):
+    """Texts of shared words, a third of them with one of two insults and a fixed word behind it."""
+    out = []
+    for i in range(n):
+        words = [f"{rng.choice(WORDS)}{rng.randrange(12)}" for _ in range(30)]
+        for _ in range(3 if i % 3 == 0 else 0):
+            k = rng.randrange(len(words) - 1)
+            words[k : k + 2] = [rng.choice(["nasty", "vile"]), "fool"]
+        out.append((i, " ".join(words), int(i % 3 == 0)))
+    return out
+
+
+def test_toxicity_is_kneser_ney(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BIGRAM", 2)  # so that the small table has bigrams above their discount
+    data = _insulting(random.Random(11), 240)
     d = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    docs, labels = d.select("doc_id", "text"), d.select("doc_id", "toxic")
     fold = F.expr("pmod(xxhash64('calibrate', doc_id), 5L) = 0")
     used = {r.doc_id for r in d.filter(~fold & ~held_out("doc_id", 5, 0)).collect()}
-    stem, uni, bi = (collections.Counter() for _ in range(3))
-    for i, t, y in data:
+    fitted = toxicity.Fitted(docs, labels, discounts=(1, 3))
+    p, vocabulary, total = _plain_kneser_ney([t.split() for i, t, _ in data if i in used], [y for i, _, y in data if i in used], fitted.d)
+    for c in (0, 1):
+        for h in ("", vocabulary[0], "nasty", "neverseen"):
+            assert np.isclose(sum(p(c, h, w) for w in [*vocabulary, "neverseen"]), 1)
+    assert any(r.level == 2 for r in fitted.tables[fitted.d].collect())
+    share = total[1] / sum(total)
+    some = {r.doc_id: r for r in toxicity.scores(docs, labels, discounts=(1, 3)).collect()}
+    joined = {r.doc_id: r for r in toxicity.scores(docs, labels, discounts=(1, 3), table=0).collect()}  # tables too large for a task
+    for i, t, y in data[:60]:
         w = t.split()
-        for a, b in zip(["", *w], w, strict=False):
-            if i in used:
-                stem[b[:5], y], uni[b, y], bi[a, b, y] = stem[b[:5], y] + 1, uni[b, y] + 1, bi[a, b, y] + 1
-    before = collections.Counter(b for _, b in {(a, b) for a, b, _ in bi})
-    total = [sum(n for (_, y), n in uni.items() if y == c) for c in (0, 1)]
-    rest, k = sum(before.values()) + 0.5 * len(before) + 0.5, toxicity.TRUST
-
-    def evidence(a, b):
-        p = []
-        for c in (0, 1):
-            share = total[c] / sum(total)
-            s = (stem[b[:5], c] + k) / ((stem[b[:5], 0] + stem[b[:5], 1]) * share + k)
-            e = total[c] * ((1 - toxicity.FRESH) * (uni[b, 0] + uni[b, 1]) / sum(total) + toxicity.FRESH * (before[b] + 0.5) / rest)
-            u = s * (uni[b, c] + k) / (e * s + k)
-            p.append(u * (bi[a, b, c] + k) / ((bi[a, b, 0] + bi[a, b, 1]) * share * u + k))
-        r = np.log(p[1] / p[0])
-        return np.sign(r) * max(abs(r) - toxicity.TELLING, 0)
-
-    for r in toxicity.scores(d.select("doc_id", "text"), d.select("doc_id", "toxic")).collect():
-        w = data[r.doc_id][1].split()
-        assert np.isclose(r.evidence, sum(evidence(a, b) for a, b in zip(["", *w], w, strict=False)) / (len(w) + toxicity.PRIOR_WORDS))
-        assert r.predicted == data[r.doc_id][2]
+        r = []
+        for h, x in zip(["", *w], w, strict=False):
+            e = p(1, h, x) / p(0, h, x)
+            common = (1 - toxicity.OWN) * (1 - share + share * e)
+            r.append(np.log((toxicity.OWN * e + common) / (toxicity.OWN + common)))
+        want = sum(x - sorted(r)[(len(r) - 1) // 2] for x in r) / (len(w) + toxicity.PRIOR_WORDS)
+        assert np.isclose(some[i].evidence, want, atol=1e-9) and np.isclose(joined[i].evidence, want, atol=1e-9)
+        assert some[i].predicted == joined[i].predicted == y
+
+
+def test_toxicity_of_repeated_and_long_rows(spark):
+    data = _insulting(random.Random(12), 150)
+    long = (5000, " ".join(t for _, t, _ in data) * 40 + " nasty" * 30_000, 1)
+    rows_ = [*data, *data[:20], long, (5001, None, None), (5002, "", 0), (5003, "?!", None)]
+    d = spark.createDataFrame(rows_, "doc_id long, text string, toxic int")
+    got = toxicity.scores(d.select("doc_id", "text"), d.select("doc_id", "toxic").union(d.select("doc_id", F.lit(0)).limit(30))).collect()
+    assert len(got) == len(rows_) and {r.doc_id: r for r in got}[5000].predicted == 1
+    assert len({(r.doc_id, r.score) for r in got}) == len({r[0] for r in rows_})
+    assert len({r.score for r in got if r.doc_id in (5001, 5002, 5003)}) == 1
 
 
 def _vocabulary(tmp_path):

@@ -1,6 +1,7 @@
 """The stages over the smallest tables, and each against a plain version of it."""
 
 import collections
+import hashlib
 import math
 import re
 
@@ -137,7 +138,7 @@ def test_decontamination_stage(spark, stages):
 def test_source_mix_stage(spark, stages):
     rows = spark.createDataFrame(stages[3][1], ", ".join(f"`{c}` {t}" for c, t in spark.read.parquet(f"{DATA}/documents.parquet").dtypes))
     coin = F.pmod(F.xxhash64(F.lit("copy"), "doc_id", "h"), F.lit(1 << 30)) / float(1 << 30)
-    seen = rows.select("doc_id", "text", "source", F.xxhash64(F.lit("mix"), "doc_id", "text").alias("h")).select("*", coin.alias("coin")).collect()
+    seen = rows.select("doc_id", "text", "source", mixing.shuffle_key(F.col("doc_id"), F.col("text")).alias("h")).select("*", coin.alias("coin")).collect()
     by = collections.defaultdict(list)
     for r in seen:
         by[r.source].append(r)
@@ -153,10 +154,11 @@ def test_source_mix_stage(spark, stages):
         left -= sum(3 * total[s] for s in over)
     want = collections.Counter()
     for s in names:
+        assert all(r.h == int(hashlib.md5(f"{r.doc_id}|{r.text or ''}".encode()).hexdigest()[:15], 16) for r in by[s])
         words = [r for r in sorted(by[s], key=lambda r: (r.h, r.doc_id)) for _ in range(size[r.doc_id, r.h])]
         bucket = max(1, -(-len(seen) // mixing.ROWS_PER_BUCKET))
         assert bucket == 1  # one bucket: the shuffled order is that of h
-        take = min(round(goal[s]), 3 * total[s])
+        take = min(math.floor(goal[s] + 0.5), 3 * total[s])
         taken = collections.Counter((words[k % total[s]].doc_id, words[k % total[s]].h) for k in range(take)) if total[s] else {}
         for r in by[s]:
             n = size[r.doc_id, r.h]
