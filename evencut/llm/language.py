@@ -10,8 +10,8 @@ Words of a batch are scored once each.
 
 A text that is null or has no letter is `und` with score 0, as is every text if no language was learned.
 Rows of null lang teach nothing; repeated rows are predicted alike; ties go to the first language by code
-point; an empty table gives an empty result. Only doc_id, text and lang are read. Words of over MOST
-bytes are scored in parts of that size.
+point; an empty table gives an empty result. Only doc_id, text and lang are read. A word of any length, as
+in writing without spaces, is one word: long ones are summed in logarithms.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from evencut.llm.common import LOWER, Hashes, buffer, chunks, held_out, lean, owner, slices, spans
 
-TRAIN_ROWS, LEAST, LONGEST, MOST, ROUNDS, SMOOTH = 8000, 200, 10, 31, 2, 0.05
+TRAIN_ROWS, LEAST, ROUNDS, SMOOTH = 8000, 200, 2, 0.05
+USUAL, PART = 12, 1 << 19  # longer pieces are few and looked up only behind their first USUAL bytes; bytes of words that are summed at once
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = LETTER[128:] = True
 
@@ -45,7 +46,7 @@ class Pieces:
         with open(path or vocabulary_path(), "rb") as lines:
             for line in lines:
                 piece = base64.b64decode(line.split()[0]) if line.strip() else b""
-                if len(piece) <= LONGEST and re.fullmatch(rb" ?[a-z\x80-\xff]+", piece):
+                if re.fullmatch(rb" ?[a-z\x80-\xff]+", piece):
                     found.add(piece)
         self._index(sorted(found))
 
@@ -60,7 +61,11 @@ class Pieces:
         data = np.frombuffer(b"".join(self.pieces), np.uint8)
         size = np.array([len(p) for p in self.pieces])
         ends = np.cumsum(size)
-        keys = Hashes(data).of(ends - size, ends)
+        hashes = Hashes(data)
+        keys = hashes.of(ends - size, ends)
+        self.lengths = np.unique(size).tolist()
+        long = size > USUAL
+        self.fronts = np.unique(hashes.of((ends - size)[long], (ends - size)[long] + USUAL))
         self.keys = np.concatenate([np.zeros(1, np.uint64), keys])
         slot = (keys >> np.uint64(43)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
@@ -84,11 +89,6 @@ def words(texts: pa.Array):
     for lo, data, off in chunks(texts):
         low = LOWER[data]
         s, e = spans(LETTER[low], off)
-        parts = -(-(e - s) // MOST)
-        if len(parts) and parts.max() > 1:
-            nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            s, e = np.repeat(s, parts) + nth * MOST, np.repeat(e, parts)
-            e = np.minimum(e, s + MOST)
         h = Hashes(low).of(s, e)
         one, first, back = np.unique(h, return_index=True, return_inverse=True)
         size = (e - s)[first]
@@ -118,66 +118,108 @@ def words(texts: pa.Array):
     return flat, keep, np.concatenate(rows), index
 
 
+class Lattice:
+    """The pieces that match in some words, as edges between the places of each word; a word of m bytes has places 0 to m."""
+
+    def __init__(self, pieces: Pieces, flat: np.ndarray, size: np.ndarray) -> None:
+        end = np.cumsum(size)
+        word = np.repeat(np.arange(len(size)), size)
+        left = end[word] - np.arange(len(flat))  # bytes from here to the end of the word
+        hashes, found = Hashes(flat), []
+        some, sparse = np.arange(len(flat)), False
+        for k in pieces.lengths:
+            some = some[left[some] >= k]
+            if k > USUAL and not sparse:
+                front = hashes.of(some, some + USUAL)
+                at = np.minimum(np.searchsorted(pieces.fronts, front), len(pieces.fronts) - 1)
+                some, sparse = some[pieces.fronts[at] == front], True
+            number = pieces.number(hashes.of(some, some + k))
+            hit = np.flatnonzero(number)
+            found.append((k, some[hit], number[hit]))
+        start = np.concatenate([p for _, p, _ in found])
+        length = np.concatenate([np.full(len(p), k) for k, p, _ in found])
+        self.piece = np.concatenate([x for _, _, x in found])
+        self.word = word[start]
+        self.source, self.target = start + self.word, start + length + self.word  # places are numbered through all words
+        self.first = end - size + np.arange(len(size))
+        self.last = end + np.arange(len(size))
+        self.places = len(flat) + len(size)
+
+    def steps(self, forward: bool):
+        """(edges, where each place begins among them, those places) for each distance from the start (or the end) of a word."""
+        to = self.target if forward else self.source
+        away = to - self.first[self.word] if forward else self.last[self.word] - to
+        away = away.astype(np.uint16) if len(away) and away.max() < 1 << 16 else away
+        order = np.argsort(to, kind="stable")
+        order = order[np.argsort(away[order], kind="stable")]  # by distance, then place
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(away[order].astype(np.int64))) + 1, [len(order)]])
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if hi > lo:
+                some = order[lo:hi]
+                new = np.flatnonzero(np.concatenate([[True], to[some[1:]] != to[some[:-1]]]))
+                yield some, new, to[some[new]]
+
+
+def parts(size: np.ndarray, most: int = PART):
+    """Runs of words of about most bytes."""
+    end, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
 class Model:
     """Piece probabilities: prob[piece number, language], row 0 being 0."""
 
     def __init__(self, pieces: Pieces, langs: list[str], prob: np.ndarray) -> None:
         self.pieces, self.langs, self.prob = pieces, langs, prob
 
-    def _groups(self, flat: np.ndarray, size: np.ndarray):
-        """(words, piece numbers by (end, length)) of words of equal size, some at a time."""
-        start = np.cumsum(size) - size
-        order = np.argsort(size, kind="stable")
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(size[order])) + 1, [len(order)]])
-        hashes = None
-        for lo, hi in zip(edges, edges[1:], strict=False):
-            for a in range(lo, hi, 50_000):
-                which = order[a : min(hi, a + 50_000)]
-                m = int(size[which[0]])
-                s = start[which]
-                local = flat[s[:, None] + np.arange(m)].ravel()
-                hashes = Hashes(local)
-                s = np.arange(len(which)) * m
-                yield which, m, {(j, k): self.pieces.number(hashes.of(s + j - k, s + j)) for j in range(1, m + 1) for k in range(1, min(j, LONGEST) + 1)}
+    def _sums(self, lattice: Lattice, forward: bool, logs: bool) -> np.ndarray:
+        """[language, place]: the sum over all segmentations of what lies before (or behind) each place, or its logarithm."""
+        out = np.full((len(self.langs), lattice.places), -np.inf if logs else 0.0)
+        out[:, lattice.first if forward else lattice.last] = 0.0 if logs else 1.0
+        with np.errstate(divide="ignore"):
+            weight = np.ascontiguousarray((np.log(self.prob) if logs else self.prob).T)
+        for some, new, places in lattice.steps(forward):
+            x, w = out[:, (lattice.source if forward else lattice.target)[some]], weight[:, lattice.piece[some]]
+            if not logs:
+                out[:, places] = np.add.reduceat(x * w, new, axis=1)
+                continue
+            x = x + w
+            top = np.maximum.reduceat(x, new, axis=1)
+            x = np.exp(x - np.repeat(top, np.diff(np.append(new, x.shape[1])), axis=1))
+            out[:, places] = top + np.log(np.add.reduceat(x, new, axis=1))
+        return out
 
     def log_likelihood(self, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(size), len(self.langs)), np.float64)
-        for which, m, ids in self._groups(flat, size):
-            out[which] = np.log(np.maximum(self._forward(m, ids, len(which))[m], 1e-300))
+        out, place = np.zeros((len(size), len(self.langs))), np.cumsum(size) - size
+        letters = np.unique(flat)
+        single = self.pieces.number(Hashes(letters).of(np.arange(len(letters)), np.arange(len(letters)) + 1))
+        safe = 600 / -np.log(max(self.prob[single].min(), 1e-300)) if len(letters) else 0  # sums of shorter words stay above the smallest number
+        for logs in (False, True):
+            which = np.flatnonzero((size > safe) == logs)
+            for lo, hi in parts(size[which]):
+                w = which[lo:hi]
+                n = size[w]
+                local = flat[np.repeat(place[w] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                lattice = Lattice(self.pieces, local, n)
+                got = self._sums(lattice, True, logs)[:, lattice.last]
+                out[w] = (got if logs else np.log(got)).T
         return out
 
-    def _forward(self, m: int, ids: dict, n: int) -> list[np.ndarray]:
-        alpha = [np.ones((n, len(self.langs)))]
-        for j in range(1, m + 1):
-            total = np.zeros((n, len(self.langs)))
-            for k in range(1, min(j, LONGEST) + 1):
-                some = np.flatnonzero(ids[j, k])
-                if len(some) * 2 > n:
-                    total += alpha[j - k] * self.prob[ids[j, k]]
-                elif len(some):
-                    total[some] += alpha[j - k][some] * self.prob[ids[j, k][some]]
-            alpha.append(total)
-        return alpha
-
     def expected(self, flat: np.ndarray, size: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected piece counts of words that occur weight[word, language] times."""
-        out = np.zeros_like(self.prob)
-        for which, m, ids in self._groups(flat, size):
-            n = len(which)
-            alpha = self._forward(m, ids, n)
-            beta = [None] * m + [np.ones((n, len(self.langs)))]
-            for i in range(m - 1, -1, -1):
-                beta[i] = np.zeros((n, len(self.langs)))
-                for k in range(1, min(m - i, LONGEST) + 1):
-                    beta[i] += self.prob[ids[i + k, k]] * beta[i + k]
-            scale = weight[which] / np.maximum(alpha[m], 1e-300)
-            for (j, k), number in ids.items():
-                some = np.flatnonzero(number)
-                if len(some):
-                    x = number[some]
-                    share = alpha[j - k][some] * self.prob[x] * beta[j][some] * scale[some]
-                    for c in range(share.shape[1]):
-                        out[:, c] += np.bincount(x, share[:, c], minlength=len(out))
+        out, place = np.zeros_like(self.prob), np.cumsum(size) - size
+        with np.errstate(divide="ignore"):
+            log = np.log(self.prob)
+        for lo, hi in parts(size):
+            at = place[lo]
+            lattice = Lattice(self.pieces, flat[at : at + int(size[lo:hi].sum())], size[lo:hi])
+            before, behind = self._sums(lattice, True, True), self._sums(lattice, False, True)
+            for c in range(len(self.langs)):
+                share = np.exp(before[c, lattice.source] + log[lattice.piece, c] + behind[c, lattice.target] - before[c, lattice.last][lattice.word])
+                out[:, c] += np.bincount(lattice.piece, share * weight[lo:hi][lattice.word, c], minlength=len(out))
         out[0] = 0
         return out
 
@@ -223,7 +265,7 @@ def fit(docs: DataFrame, path: str | None = None, most: int = TRAIN_ROWS) -> Mod
     code = {x: i for i, x in enumerate(langs)}
     spread = rows.select("text", "lang").repartition(12)
     # short pieces first: the start weighs a piece by its length, so that longer ones count from the first round
-    long = np.array([0.0, *[4.0 ** -(12 - len(p)) for p in pieces.pieces]])
+    long = np.array([0.0, *[4.0 ** min(len(p), 10) for p in pieces.pieces]])
     model.prob = np.repeat((long / long.sum())[:, None], len(langs), axis=1)
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)

@@ -377,6 +377,18 @@ def test_language(spark, empty, tmp_path):
     assert language.predict(empty, path).count() == 0
 
 
+def test_pieces_of_any_length_count(tmp_path):
+    import base64
+
+    path = tmp_path / "long"
+    path.write_bytes(b"".join(base64.b64encode(x) + b" 1\n" for x in (b" internationalisation", b"nationalisations", b"nationalisation", b"ab")))
+    p = language.Pieces(str(path))
+    flat, size, *_ = language.words(pa.array(["internationalisation nationalisations"]))
+    lattice = language.Lattice(p, flat, size)
+    found = {p.pieces[x - 1] for x in lattice.piece.tolist()}
+    assert {b" internationalisation", b"nationalisation", b"nationalisations"} <= found and b"ab" not in found
+
+
 def test_rare_languages_are_learned(spark, tmp_path):
     path = _vocabulary(tmp_path)
     texts = {"en": "the then they other the", "fr": "le les elle la le", "xx": "zq qz zzq qqz", "yy": "wv vw wwv vvw"}
@@ -400,6 +412,21 @@ def test_forward_sums_all_segmentations(tmp_path):
     def total(w):
         return 1.0 if not w else sum(of[w[:k]] * total(w[k:]) for k in range(1, len(w) + 1) if w[:k] in of)
 
+    def log_total(w):  # in logarithms, by place
+        best = [0.0]
+        for j in range(1, len(w) + 1):
+            best.append(np.logaddexp.reduce([best[j - k] + np.log(of[w[j - k : j]]) for k in range(1, j + 1) if w[j - k : j] in of]))
+        return best[-1]
+
+    long = ["запротоколировавшиеся", "因为他们没有空格所以这是一个很长的词语而且还要继续写下去直到超过界限为止", "the" * 3000]
+    flat, size, row, index = language.words(pa.array([" ".join(long), "then"]))
+    assert sorted(size.tolist()) == sorted([5, *[len(w.encode()) + 1 for w in long]])  # no word is cut
+    got = m.log_likelihood(flat, size)[index, 0]
+    assert np.allclose(got, [log_total(b" " + w.encode()) for w in [*long, "then"]])
+    weight = np.ones((len(size), 1))
+    counts = m.expected(flat, size, weight)[:, 0]
+    assert np.isclose(sum(c * len(of_piece) for c, of_piece in zip(counts[1:], p.pieces, strict=True)), size.sum())  # pieces cover each byte once
+
     flat, size, row, index = language.words(pa.array(["then other", None, "the"]))
     assert row.tolist() == [0, 0, 2]
     got = np.exp(m.log_likelihood(flat, size))[index, 0]
