@@ -439,3 +439,62 @@ def test_html(spark):
     assert html_text.main_text(None) == html_text.main_text("") == ""
     d = spark.createDataFrame([(1, "u", page, "z"), (1, "u", page, "z"), (2, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.n_chars) for r in html_text.extract(d).collect()) == [(1, 34), (1, 34), (2, 0)]
+
+
+PROSE = "<p>one two three four five six seven eight nine ten eleven twelve thirteen fourteen</p>"
+
+
+@pytest.mark.parametrize(("page", "paragraphs"), [
+    ("<datalist><option value=a>{0}{0}", 2), ("<button>Buy{0}{0}", 2), ("<object data=x>{0}{0}", 2), ("<select><option>a<option>b</select>{0}", 1),
+    ("<section id='social-history'>{0}</section><section class=legal-background>{0}</section>", 2), ("<div class='share-buttons'>{0}</div>{0}", 1),
+    ("<script>var x = 1;{0}", 1), ("<!-- open {0}{0}", 2), ("<a href='x'>{0}{0}", 2), ("<p title='it is>{0}<a href=\"x>{0}", 2), ("<svg><text>no</text></svg>{0}", 1),
+    ("<aside>{0}", 1), ("<aside>{0}</aside>{0}", 1), ("<p title='a hidden b'>{0}</p>", 1), ("<div hidden>{0}</div>{0}", 1),
+])
+def test_bad_markup_costs_no_text(page, paragraphs):
+    text = html_text.main_text("<article>" + PROSE + page.format(PROSE) + "</article>")
+    assert text.count("one two three") == paragraphs + 1
+
+
+@pytest.mark.parametrize("unit", ['<a href="', "<a ='>' ", '<a x=">" ', "<!--", "<script>", "<div>", "<button>", "</div", "<x ="])
+def test_reading_is_linear(unit):
+    import time
+
+    began = time.process_time()
+    html_text.main_text("<article>" + PROSE + unit * 100_000 + PROSE)
+    assert time.process_time() - began < 20
+
+
+def test_html_against_a_plain_reader(spark):
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.blocks = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            if tag in ("h1", "h2", "h3", "p", "li", "ul", "ol", "article", "blockquote", "div"):
+                self.blocks.append("")
+            if tag == "br":
+                self.blocks[-1] += " "
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+            if tag in ("h1", "h2", "h3", "p", "li", "ul", "ol", "article", "blockquote", "div"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.depth:
+                self.blocks[-1] += data
+
+    rows_ = html_text.extract(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).collect()
+    pages = {r.page_id: r for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    assert len(rows_) == len(pages)
+    for r in rows_:
+        plain = Article()
+        plain.feed(pages[r.page_id].html or "")
+        plain.close()
+        want = "\n\n".join(x for x in (" ".join(b.split()) for b in plain.blocks) if x)
+        assert r.text == want and r.n_chars == len(want)
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
