@@ -1,21 +1,30 @@
 """Quality rules with robust multivariate outliers; DataFrame functions only.
 
 Base rules reject texts of under MIN_WORDS words, or whose repeated three-word windows hold over half of
-their words. The others are judged in their group of language and source: a minimum-covariance-determinant
-estimate of location and scatter of transformed statistics, found by concentration steps from medians (a
-step keeps the HALF of a group with the smallest distances and estimates anew, its scatter times CONSISTENT,
-which makes up for the tails of a normal that a half leaves out), rejects vectors whose squared Mahalanobis
-distance exceeds CUTOFF; just under half of a group may be junk before that moves the estimate. A group of under MIN_GROUP rows uses its language's estimate, a
-language of so few the estimate over all rows. Variances have FLOORS, as most texts have no symbols or
-repeats at all and an exact half would have no scatter.
-
-Null text has no words and fails the base rules; null lang or source are values of their own; repeated
-rows are judged alike; an empty table gives an empty result. Only doc_id, text, lang and source are read.
+their words. The others are judged by a minimum-covariance-determinant estimate of location and scatter of
+transformed statistics in their group of language and source. It is found by concentration steps from two
+starts, medians with FLOORS as scatter and medians with median deviations: a step keeps the HALF of a group with
+the smallest distances and estimates anew, and steps go on until no group's determinant falls by over
+TOLERANCE (STEPS at most). The smallest determinant of a group, over both starts and all steps, holds; one
+step of reweighting follows, over the rows within the INNER quantile. Scatters of parts are scaled to be
+consistent for normal data. Just under half of a group may be junk before that moves the estimate.
+
+Each group's location and scatter are drawn to its language's with the weight of PRIOR rows, and a language's
+to all rows', so a small group needs no rule of its own. Variances have FLOORS, as most texts have no symbols
+or repeats at all and an exact half would have no scatter: each is about what one event makes of a
+statistic (words 8 % longer; one symbol in 100 words; one line of 25 repeated; six words of 400
+repeated). A squared Mahalanobis distance beyond CUTOFF, the quantile that one ordinary text in a
+million exceeds, rejects.
+
+Null text has no words and fails the base rules; null lang or source are values of their own; a text of any
+length is measured whole; repeated rows are judged alike, rows that share an id each by their own values; an empty
+table gives an empty result. Only doc_id, text, lang and source are read.
 Group statistics are sums and approximate quantiles with partial aggregation: a hot group is no task.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,11 +32,29 @@ from pyspark.sql import functions as F
 
 from evencut.llm.common import WORD, free_name, materialize
 
-MIN_WORDS, HALF, STEPS, MIN_GROUP = 50, 0.5, 3, 100
+
+def chi_square(x: float, k: int) -> float:
+    """The share of a chi-square of k degrees, k even, at or below x."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(k // 2))
+
+
+def quantile(share: float, k: int) -> float:
+    lo, hi = 0.0, 1000.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi_square(mid, k) < share else (lo, mid)
+    return hi
+
+
+def consistent(share: float, k: int) -> float:
+    """The scatter of k normal values over that of the given share of smallest distance."""
+    return share / chi_square(quantile(share, k), k + 2)
+
+
+MIN_WORDS, HALF, STEPS, TOLERANCE, PRIOR = 50, 0.5, 12, 1e-3, 50
 NAMES = ("word_len", "symbols", "dup_lines", "repeats")
 FLOORS = (0.08, 0.10, 0.20, 0.12)
-CUTOFF = 60.0
-CONSISTENT = 2.1090630406  # HALF / P(chi-square of 6 degrees <= the median of one of 4): normal scatter over that of its inner half
+INNER, CUTOFF = quantile(0.975, len(NAMES)), quantile(1 - 1e-6, len(NAMES))
 SYMBOLS = "#*$%&|<>"
 
 
@@ -91,83 +118,119 @@ def _cholesky(m) -> list[list[Column]]:
     return low
 
 
+P = range(len(NAMES))
+LOWER = [(i, j) for i in P for j in range(i + 1)]
+KEYS = ["level", "lang", "source", "start"]
+MOMENTS = [*[f"m{i}" for i in P], *[f"c{i}{j}" for i, j in LOWER]]
+FACTORS = [*[f"m{i}" for i in P], *[f"l{i}{j}" for i, j in LOWER]]
+
+
 def _distance() -> Column:
     """The squared Mahalanobis distance from x0.. with mean m0.. and factor l00.., by forward substitution."""
     z: list[Column] = []
-    for i in range(len(NAMES)):
+    for i in P:
         rest = F.col(f"x{i}") - F.col(f"m{i}") - reduce(lambda a, k: a + F.col(f"l{i}{k}") * z[k], range(i), F.lit(0.0))
         z.append(rest / F.col(f"l{i}{i}"))
     return reduce(lambda a, v: a + v * v, z, F.lit(0.0))
 
 
-def _factors(grouped: DataFrame) -> DataFrame:
-    """level, lang, source, n, means and Cholesky factors of grouped moments; one factor per narrow projection, so expressions stay small."""
-    p = range(len(NAMES))
-    out = grouped
-    for i in p:
-        for j in range(i + 1):
-            out = out.withColumn(f"c{i}{j}", F.lit(CONSISTENT) * (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0)))
-    low = _cholesky(lambda i, j: F.col(f"c{i}{j}"))
-    return out.select("level", "lang", "source", "n", *[f"m{i}" for i in p], *[low[i][j].alias(f"l{i}{j}") for i in p for j in range(i + 1)])
+def _factors(moments: DataFrame) -> DataFrame:
+    """Means, Cholesky factors of the covariances with their floors, and the logarithm of the determinant."""
+    low = _cholesky(lambda i, j: F.col(f"c{i}{j}") + F.lit(FLOORS[i] ** 2 if i == j else 0.0))
+    others = [c for c in moments.columns if c not in MOMENTS]
+    out = moments.select(*others, *[f"m{i}" for i in P], *[low[i][j].alias(f"l{i}{j}") for i, j in LOWER])
+    return out.withColumn("det", reduce(lambda a, i: a + 2 * F.log(f"l{i}{i}"), P, F.lit(0.0)))
 
 
-def _same(a: str, b: str) -> Column:
-    return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in ("level", "lang", "source")])
+def _averages(scale: float) -> list[Column]:
+    """n, means and covariances, the latter scaled, of the rows of a group."""
+    x = lambda i: F.col(f"x{i}")
+    return [F.count("*").alias("n"), *[F.avg(x(i)).alias(f"m{i}") for i in P], *[(F.lit(scale) * (F.avg(x(i) * x(j)) - F.avg(x(i)) * F.avg(x(j)))).alias(f"c{i}{j}") for i, j in LOWER]]
 
 
-def _with(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    return rows.alias("r").join(estimates.alias("e"), _same("r", "e")).select("r.*", *[f"e.{c}" for c in estimates.columns if c not in ("level", "lang", "source")])
+def _with(rows: DataFrame, found: DataFrame) -> DataFrame:
+    keys = [k for k in KEYS if k in found.columns and k in rows.columns]
+    same = reduce(lambda x, y: x & y, [F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys])
+    return rows.alias("r").join(found.alias("e"), same).select("r.*", *[f"e.{c}" for c in found.columns if c not in keys])
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Both starts of each group."""
+    keys = KEYS[:3]
+    middle = lambda c: F.percentile_approx(c, F.lit(0.5), F.lit(1000))
+    mid = materialize(rows.groupBy(*keys).agg(*[middle(f"x{i}").alias(f"m{i}") for i in P]), "medians")
+    away = _with(rows, mid).groupBy(*keys).agg(*[middle(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))).alias(f"d{i}") for i in P])
+    both = _with(mid, away).withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    spread = lambda i: F.when(F.col("start") == 1, F.pow(1.4826 * F.col(f"d{i}"), 2)).otherwise(0.0)
+    return both.select(*KEYS, *[f"m{i}" for i in P], *[(spread(i) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in LOWER])
 
 
 def estimates(stats: DataFrame) -> DataFrame:
-    """Robust location and Cholesky factors of each (lang, source), each lang and all rows that pass the base rules; small tables by group."""
-    p = range(len(NAMES))
+    """(lang, source) with robust means and Cholesky factors of the groups that have rows which pass the base rules; a small table by group."""
     none = F.lit(None).cast("string")
-    levels = F.array(F.struct(F.lit(2).alias("level"), F.col("lang").alias("lang"), F.col("source").alias("source")), F.struct(F.lit(1).alias("level"), F.col("lang").alias("lang"), none.alias("source")), F.struct(F.lit(0).alias("level"), none.alias("lang"), none.alias("source")))
-    rows = stats.filter(~base_failed(F.col)).select(F.explode(levels).alias("g"), *[x.alias(f"x{i}") for i, x in enumerate(vector(F.col))]).select("g.*", *[f"x{i}" for i in p])
-    keys = ["level", "lang", "source"]
-    mid = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", F.lit(0.5), F.lit(1000)).alias(f"m{i}") for i in p])
-    # from medians with the floors as scatter
-    found = materialize(_factors(mid.select("*", *[(F.col(f"m{i}") * F.col(f"m{j}")).alias(f"q{i}{j}") for i in p for j in range(i + 1)])), "mcd")
+    levels = F.array(
+        F.struct(F.lit(2).alias("level"), F.col("lang").alias("lang"), F.col("source").alias("source")),
+        F.struct(F.lit(1).alias("level"), F.col("lang").alias("lang"), none.alias("source")), F.struct(F.lit(0).alias("level"), none.alias("lang"), none.alias("source")),
+    )
+    rows = stats.filter(~base_failed(F.col)).select(F.explode(levels).alias("g"), *[x.alias(f"x{i}") for i, x in enumerate(vector(F.col))]).select("g.*", *[f"x{i}" for i in P])
+    found = materialize(_factors(_starts(rows)), "mcd")
+    best = None
     for _ in range(STEPS):
-        near = _with(rows, found).withColumn("d", _distance())
-        cut = near.groupBy(*keys).agg(F.percentile_approx("d", F.lit(HALF), F.lit(1000)).alias("cut"))
-        half = _with(near.select(*keys, "d", *[f"x{i}" for i in p]), cut).filter("d <= cut")
-        sums = half.groupBy(*keys).agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in p], *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in p for j in range(i + 1)])
-        found = materialize(_factors(_with(sums, found.select(*keys, "n"))), "mcd")
-    return found
+        near = _with(rows, found).withColumn("d", _distance()).select(*KEYS, "d", *[f"x{i}" for i in P])
+        cut = near.groupBy(*KEYS).agg(F.percentile_approx("d", F.lit(HALF), F.lit(1000)).alias("cut"))
+        half = _with(near, cut).filter("d <= cut").groupBy(*KEYS).agg(*_averages(consistent(HALF, len(NAMES)))).drop("n")
+        found = materialize(_factors(half), "mcd")
+        if best is None:
+            best = found
+            continue
+        # of each group and start, what has the smaller determinant
+        both = best.unionByName(found).groupBy(*KEYS).agg(F.min_by(F.struct(*FACTORS, "det"), "det").alias("e"), F.max("det").alias("worst"))
+        new = materialize(both.select(*KEYS, "e.*", "worst"), "mcd")
+        fell = _with(found, best.select(*KEYS, F.col("det").alias("old"))).agg(F.max(F.col("old") - F.col("det"))).first()[0]
+        best = new.drop("worst")
+        if fell is None or fell <= TOLERANCE:
+            break
+    best = best.groupBy(*KEYS[:3]).agg(F.min_by(F.struct(*FACTORS), F.struct("det", "start")).alias("e")).select(*KEYS[:3], "e.*")
+    inner = _with(rows, best).withColumn("d", _distance()).filter(F.col("d") <= INNER)
+    moments = materialize(inner.groupBy(*KEYS[:3]).agg(*_averages(consistent(0.975, len(NAMES)))), "moments")
+    return _factors(_drawn(moments)).drop("det")
+
+
+def _drawn(moments: DataFrame) -> DataFrame:
+    """(lang, source) with moments drawn to the language's, and those to all rows', by numbers of rows."""
+    level = lambda k: moments.filter(F.col("level") == k)
+    tagged = lambda df, t: df.select(*[F.col(c).alias(f"{t}{c}") for c in ("lang", *MOMENTS)])
+    weight = F.col("n") / (F.col("n") + PRIOR)
+    mixed = lambda t: [(weight * F.col(c) + (1 - weight) * F.col(f"{t}{c}")).alias(c) for c in MOMENTS]
+    whole = F.broadcast(tagged(level(0), "a_"))  # one row
+    langs = level(1).join(whole, F.lit(True)).select("lang", *mixed("a_"))
+    up = tagged(langs, "b_")
+    return level(2).join(up, F.col("lang").eqNullSafe(F.col("b_lang"))).select("lang", "source", *mixed("b_"))
+
+
+def _measured(docs: DataFrame, lang: str, source: str, text: str) -> list[Column]:
+    return [F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), statistics(F.col(text)).alias("s")]
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """docs' doc_id, lang, source with statistics, base_failed, distance (null if base_failed) and kept."""
-    stats = materialize(docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), statistics(F.col("text")).alias("s")).select("doc_id", "lang", "source", "s.*"), "stats")
+    stats = materialize(docs.select("doc_id", *_measured(docs, "lang", "source", "text")).select("doc_id", "lang", "source", "s.*"), "stats")
     return judged(stats, cutoff)
 
 
 def judged(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    found = estimates(stats)
-    extra = [c for c in found.columns if c[0] in "ml" and c[1:].isdigit()]
-    few = lambda level: found.filter((F.col("level") == level) & ((F.col("n") >= MIN_GROUP) | F.lit(level == 0)))
+    """The columns of stats (lang, source, statistics and any others) with base_failed, distance and kept; each row has its own verdict."""
+    found = estimates(stats).select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.struct(*FACTORS).alias("e"))
     rows = stats.select("*", base_failed(F.col).alias("base_failed"), *[x.alias(f"x{i}") for i, x in enumerate(vector(F.col))])
-    by2, by1, by0 = (few(k).select(F.col("lang").alias(f"g{k}"), F.col("source").alias(f"h{k}"), F.struct(*extra).alias(f"e{k}")) for k in (2, 1, 0))
-    rows = rows.join(by2, F.col("lang").eqNullSafe(F.col("g2")) & F.col("source").eqNullSafe(F.col("h2")), "left").join(by1, F.col("lang").eqNullSafe(F.col("g1")), "left").join(F.broadcast(by0), F.lit(True), "left")
-    rows = rows.withColumn("e", F.coalesce("e2", "e1", "e0")).select(*stats.columns, "base_failed", *[f"x{i}" for i in range(len(NAMES))], "e.*")
-    distance = F.when(~F.col("base_failed"), _distance())
-    return rows.withColumn("distance", distance).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).select(*stats.columns, "base_failed", "distance", "kept")
+    rows = rows.join(found, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
+    rows = rows.select(*[f"`{c}`" for c in stats.columns], "base_failed", *[f"x{i}" for i in P], "e.*")
+    rows = rows.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
+    return rows.withColumn("kept", kept).select(*[f"`{c}`" for c in stats.columns], "base_failed", "distance", "kept")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
-    s = free_name(docs.columns, "rules_key")
-    verdicts = judge(docs.select("doc_id", "text", "lang", "source")).filter("kept").select(F.col("doc_id").alias(s), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").distinct()
-    # rows that share an id are told apart by their statistics
-    t = free_name(docs.columns, "rules_stats")
-    mine = docs.withColumn(t, statistics(F.col("text")))
-    ids = verdicts.select(s).distinct()
-    many = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    if not many:
-        return docs.join(ids, docs.doc_id.eqNullSafe(ids[s]), "left_semi")
-    cond = mine.doc_id.eqNullSafe(verdicts[s])
-    for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
-        cond = cond & (mine[t][c] == verdicts[c])
-    return mine.join(verdicts, cond, "left_semi").drop(t)
+    row = free_name(["lang", "source", "s"], "row")
+    whole = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), *_measured(docs, "lang", "source", "text")).select(row, "lang", "source", "s.*"), "measured")
+    return judged(whole).filter("kept").select(f"{row}.*")

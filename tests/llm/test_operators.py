@@ -261,6 +261,25 @@ def test_quality_rules_with_much_junk_in_a_group(spark):
     assert len(got) == len(data) and all(r.kept != r.junk for r in got)
 
 
+def test_twins_have_their_own_verdicts(spark):
+    """Rows of one id and text in two languages: one is ordinary there, the other an outlier."""
+    rng = random.Random(6)
+    marked = lambda n: " ".join(f"word{rng.randrange(900)}" + ("#" if k < n else "") for k in range(80))
+    data = [(i, marked(0), "a", "s") for i in range(200)] + [(1000 + i, marked(rng.randrange(60, 70)), "b", "s") for i in range(200)]
+    twin = marked(65)
+    data += [(7, twin, "a", "s"), (7, twin, "b", "s"), (None, twin, "a", "s"), (None, twin, "b", "s")]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    kept = [(r.doc_id, r.lang) for r in quality_rules.kept_documents(d).filter(F.col("text") == twin).collect()]
+    assert sorted(kept, key=repr) == [(7, "b"), (None, "b")]
+
+
+def test_quality_rules_of_a_very_long_text(spark):
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(120_000)) + "\n" + "same line of words here\n" * 3
+    r = quality_rules.judge(spark.createDataFrame([(1, long, None, None)], "doc_id long, text string, lang string, source string")).first()
+    assert (r.n_words, r.n_dup_lines) == (120_015, 2) and r.word_chars == len("".join(long.split())) and r.kept
+
+
 def _labels(spark, docs, column, rule):
     return spark.createDataFrame([(r.doc_id, rule(r)) for r in docs.collect()] + [(None, 1), (7, None)], f"doc_id long, {column} int")
 

@@ -53,18 +53,47 @@ def vector(text):
     return len(words) < 50 or 100 * repeated > 50 * len(words), np.array(x)
 
 
-def robust(x):
-    """Location and scatter of the rows of x, by the same concentration steps."""
-    at = lambda v, q: np.sort(v)[max(0, math.ceil(q * len(v)) - 1)]
-    floors = np.diag(np.square(quality_rules.FLOORS))
-    mean, cov = np.array([at(c, 0.5) for c in x.T]), floors
-    for _ in range(quality_rules.STEPS):
-        z = x - mean
-        d = np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z)
-        half = x[d <= at(d, quality_rules.HALF) * (1 + 1e-12)]
-        mean = half.mean(axis=0)
-        cov = half.T @ half / len(half) - np.outer(mean, mean) + floors
-    return mean, np.linalg.inv(cov)
+def lowest(v, q):
+    return np.sort(v, axis=0)[max(0, math.ceil(q * len(v)) - 1)]
+
+
+def distances(x, mean, cov):
+    z = x - mean
+    return np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z)
+
+
+def robust(groups):
+    """(mean, scatter without floors) of each group: concentration from two starts, the smallest determinant, reweighting."""
+    floors, q = np.diag(np.square(quality_rules.FLOORS)), quality_rules
+    now = {}
+    for k, x in groups.items():
+        mid = lowest(x, 0.5)
+        now[k, 0], now[k, 1] = (mid, floors), (mid, floors + np.diag(np.square(1.4826 * lowest(np.abs(x - mid), 0.5))))
+    best = None
+    for _ in range(q.STEPS):
+        for (k, start), (mean, cov) in now.items():
+            d = distances(groups[k], mean, cov)
+            half = groups[k][d <= lowest(d, q.HALF) * (1 + 1e-12)]
+            now[k, start] = (half.mean(axis=0), q.consistent(0.5, 4) * np.cov(half.T, bias=True) + floors)
+        det = {k: np.linalg.slogdet(c)[1] for k, (_, c) in now.items()}
+        if best is None:
+            best = {k: (det[k], *now[k]) for k in now}
+            continue
+        fell = max(best[k][0] - det[k] for k in now)
+        best = {k: min(best[k], (det[k], *now[k]), key=lambda t: t[0]) for k in now}
+        if fell <= q.TOLERANCE:
+            break
+    out = {}
+    for k, x in groups.items():
+        _, mean, cov = min(best[k, 0], best[k, 1], key=lambda t: t[0])
+        near = x[distances(x, mean, cov) <= q.INNER]
+        out[k] = (len(near), near.mean(axis=0), q.consistent(0.975, 4) * np.cov(near.T, bias=True))
+    return out
+
+
+def drawn(own, other):
+    w = own[0] / (own[0] + quality_rules.PRIOR)
+    return own[0], w * own[1] + (1 - w) * other[1], w * own[2] + (1 - w) * other[2]
 
 
 def test_quality_stage(stages):
@@ -74,14 +103,14 @@ def test_quality_stage(stages):
         if not failed:
             for level in ((r.lang, r.source), (r.lang,), ()):
                 groups[level].append(x)
-    fits = {k: robust(np.array(v)) for k, v in groups.items()}
+    fits = robust({k: np.array(v) for k, v in groups.items()})
+    floors = np.diag(np.square(quality_rules.FLOORS))
     keep = []
     for r, failed, x in judged:
         if failed:
             continue
-        level = next(k for k in ((r.lang, r.source), (r.lang,), ()) if not k or len(groups.get(k, ())) >= quality_rules.MIN_GROUP)
-        mean, inverse = fits[level]
-        if (x - mean) @ inverse @ (x - mean) <= quality_rules.CUTOFF:
+        _, mean, cov = drawn(fits[r.lang, r.source], drawn(fits[(r.lang,)], fits[()]))
+        if distances(x[None], mean, cov + floors)[0] <= quality_rules.CUTOFF:
             keep.append(r)
     assert texts(stages[1][1]) == texts(keep) and 0 < len(keep) < len(judged)
 
