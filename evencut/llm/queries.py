@@ -32,7 +32,7 @@ def op4_quality_classifier(spark, sf_dir):
 
 
 def op5_sharding(spark, sf_dir):
-    """Each document's shard after one arrival and one compaction."""
+    """Each document's shard after several arrivals, each with a compaction."""
     return sharding.store_and_locate(spark, table(spark, sf_dir, "documents"), new_path(spark, "shards"))
 
 

@@ -220,11 +220,81 @@ def test_sharding(spark, docs, empty, tmp_path):
     assert version == 4 and store.manifest().count() < before
     assert sorted(map(repr, store.read(docs.schema).collect())) == sorted(map(repr, docs.collect()))
     assert store.read(docs.schema, 3).count() == docs.count()
-    with pytest.raises(Exception):
+    with pytest.raises(sharding.VersionTaken):
         store._commit(store.manifest(), 4)
     store.vacuum()
     assert store.versions() == [4] and store.located(docs.schema).count() == docs.count()
     assert sharding.store_and_locate(spark, empty, str(tmp_path / "e")).count() == 0
+    assert not store._claims() and sharding.store_and_locate(spark, docs, str(tmp_path / "f")).count() == docs.count()
+
+
+def test_tiers_merge_as_a_plain_version_does(spark, tmp_path):
+    """Arrivals of growing size: after each, the shards of every tier with enough of them become files of about the target."""
+    target = 16 << 10
+    monkey = sharding.BASE
+    sharding.BASE = 1 << 10
+    try:
+        store = sharding.ShardStore(spark, str(tmp_path / "t"))
+        rng = random.Random(3)
+        rows_, schema = [], "doc_id long, text string"
+        for n in (4, 4, 40, 4, 160, 4):
+            new = [(len(rows_) + i, "".join(rng.choice("abcdefghij") for _ in range(600))) for i in range(n)]
+            rows_ += new
+            store.append(spark.createDataFrame(new, schema).repartition(3))
+            sizes = collections.defaultdict(list)
+            for r in store.manifest().collect():
+                if r.bytes < target // 2:
+                    sizes[int(np.floor(np.log(max(1.0, r.bytes / 1024)) / np.log(4.0)))].append(r)
+            due = [x for x in sizes.values() if len(x) >= sharding.MIN_RUNS]
+            left = {r.path for r in store.manifest().collect()} - {r.path for x in due for r in x}
+            store.compact(spark.createDataFrame([], schema).schema, target)
+            now = store.manifest().collect()
+            assert left <= {r.path for r in now}
+            assert len(now) - len(left) <= sum(max(1, round(sum(r.bytes for r in x) / target)) for x in due)
+            assert sum(r.rows for r in now) == len(rows_)
+        assert sorted(map(tuple, store.read(spark.createDataFrame([], schema).schema).collect())) == sorted(rows_)
+    finally:
+        sharding.BASE = monkey
+
+
+def test_vacuum_and_other_writers_between_write_and_commit(spark, docs, tmp_path, monkeypatch):
+    store, other = (sharding.ShardStore(spark, str(tmp_path / "v")) for _ in range(2))
+    store.append(docs.limit(0))
+    write = store._write
+
+    def interrupted(df, folder, born):
+        new = write(df, folder, born)
+        other.append(docs.filter("doc_id < 3"))  # takes the version that this writer had in mind
+        other.vacuum()
+        return new
+
+    monkeypatch.setattr(store, "_write", interrupted)
+    store.append(docs)
+    assert store.read(docs.schema).count() == docs.count() + docs.filter("doc_id < 3").count()
+    monkeypatch.setattr(store, "_write", write)
+    left = store._claim("arrival")
+    write(docs, left, 9)
+    store.vacuum()
+    assert store._fs.exists(store._at(f"{store.root}/data/{left}"))
+    store._let_go(left)
+    store.vacuum()
+    assert not store._fs.exists(store._at(f"{store.root}/data/{left}"))
+
+
+def test_two_compactions_at_once(spark, docs, tmp_path, monkeypatch):
+    store, other = (sharding.ShardStore(spark, str(tmp_path / "c")) for _ in range(2))
+    for k in range(4):
+        store.append(docs.filter(f"doc_id % 4 = {k}").coalesce(1))
+    write = store._write
+
+    def interrupted(df, folder, born):
+        other.compact(docs.schema)
+        return write(df, folder, born)
+
+    monkeypatch.setattr(store, "_write", interrupted)
+    with pytest.raises(sharding.VersionTaken):
+        store.compact(docs.schema)
+    assert store.read(docs.schema).count() == docs.filter("doc_id is not null").count()
 
 
 def test_quality_rules(docs, empty):
