@@ -74,9 +74,10 @@ def slices(batches, rows: int):
             yield b.slice(i, rows)
 
 
-def with_column(docs: DataFrame, name: str, kind: T.DataType, make) -> DataFrame:
-    """docs with one more column; make maps a record batch to a list or array of as many values."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
+def with_column(docs: DataFrame, name: str, kind: T.DataType, make, replace: bool = False) -> DataFrame:
+    """docs with one more column (or the last one made anew); make maps a record batch to a list or array of as many values."""
+    old = docs.schema.fields[: len(docs.columns) - replace]
+    schema = T.StructType([*old, T.StructField(name, kind)])
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(kind)
@@ -85,7 +86,7 @@ def with_column(docs: DataFrame, name: str, kind: T.DataType, make) -> DataFrame
         for b in slices(batches, 2500):
             made = make(b)
             made = made.cast(arrow) if isinstance(made, pa.Array) else pa.array(made, arrow)
-            yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(old)], made], names=[*[f.name for f in old], name])
 
     return docs.mapInArrow(lean(run), schema)
 

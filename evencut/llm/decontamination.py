@@ -1,24 +1,24 @@
 """Benchmark decontamination with an FM-index for each shard of training text.
 
-A shard is a run of whole texts of about SHARD bytes. Its index holds the words that occur in benchmark
-items, in order; every other word ends a run, and runs shorter than the shortest phrase are left out, as
-no phrase can occur there. Phrases (WINDOW consecutive words of an item; a shorter item is one phrase)
-are searched backward, all at once, through ranks of a wavelet matrix over the Burrows-Wheeler transform;
-occurrences are located by walking to sampled suffix positions. Hit words merge into spans.
+A shard is a run of whole texts of about SHARD bytes; a longer text is a shard of its own. Its index holds
+all words of those texts, in order, each text closed by an end mark of its own; it is built once and does not
+depend on the benchmark. Phrases (WINDOW consecutive words of an item; a shorter item is one phrase) are
+searched backward, all at once, through ranks of a wavelet matrix over the Burrows-Wheeler transform;
+occurrences are located by walking to suffix positions, of which every SAMPLE-th is kept. Hit words merge
+into spans.
 
-Benchmark items are taken in blocks of about BLOCK bytes of text, at some 100 bytes of memory a byte where
-a block's phrases are told apart and 8 where they are searched; each block is a broadcast of bounded size
-that is searched for by itself, and what the blocks find is joined text by text.
+Benchmark items are taken in blocks of about BLOCK bytes of text. One block is one broadcast of bounded size
+(about 20 bytes for a word); a benchmark of several blocks is searched for in as many passes over the
+documents, and what each finds joins what those before found, text by text.
 
 Null or word-less texts and items have no windows; windows that several items share count for each;
-repeated rows are searched alike; empty tables give no hits. A result column never takes the name of an
+repeated rows are searched alike; very long texts are searched whole; empty tables give no hits. A result column never takes the name of an
 input column. Words are compared by 64-bit hash.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evencut.llm.common import ALNUM, LOWER, Hashes, chunks, free_name, lean, owner, slices, spans, with_column
+from evencut.llm.common import ALNUM, LOWER, Hashes, chunks, free_name, lean, materialize, owner, slices, spans, with_column
 
-WINDOW, SHARD, BLOCK, SAMPLE = 10, 8 << 20, 4 << 20, 8
+WINDOW, SHARD, BLOCK, SAMPLE = 10, 4 << 20, 16 << 20, 8
 
 FOUND = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -46,57 +46,67 @@ def words_of(data: np.ndarray, off: np.ndarray):
 
 
 class Phrases:
-    """The distinct phrases of some items as rows of symbols; symbol 0 is no word of theirs."""
+    """The phrases of some items as runs of their words: words by hash, where each phrase starts and how long it is, and whose it is."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW) -> None:
-        col = pa.array([t for _, t in items], pa.large_string())
-        told: dict[tuple, set] = defaultdict(set)
-        for lo, data, off in chunks(col):
+        self.items = [i for i, _ in items]
+        words, start, length, whose, base = [], [], [], [], 0
+        for lo, data, off in chunks(pa.array([t for _, t in items], pa.large_string())):
             starts, _, h = words_of(data, off)
-            who = owner(off, starts)
-            edge = np.searchsorted(who, np.arange(len(off)))
-            for i in range(len(off) - 1):
-                w = h[edge[i] : edge[i + 1]].tolist()
-                for k in range(max(1, len(w) - window + 1) if w else 0):
-                    told[tuple(w[k : k + window])].add(items[lo + i][0])
-        self.vocab = np.unique(np.array([x for p in told for x in p], dtype=np.uint64))
-        keys = sorted(told)
-        self.items = [sorted(told[k]) for k in keys]
-        self.lengths = np.array([len(k) for k in keys], dtype=np.int64)
-        self.symbols = np.zeros((len(keys), max(map(len, keys), default=1)), np.int32)
-        for i, k in enumerate(keys):
-            self.symbols[i, : len(k)] = np.searchsorted(self.vocab, np.array(k, dtype=np.uint64)) + 1
-        self.shortest = int(self.lengths.min()) if len(keys) else 0
-
-    def code(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.vocab):
-            return np.zeros(len(h), np.int32)
-        at = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
-        return np.where(self.vocab[at] == h, at + 1, 0).astype(np.int32)
+            n = np.bincount(owner(off, starts), minlength=len(off) - 1)
+            many = np.where(n > 0, np.maximum(n - window + 1, 1), 0)  # phrases of each item
+            first = base + np.cumsum(n) - n
+            start.append(np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum())))
+            length.append(np.repeat(np.minimum(n, window), many))
+            whose.append(np.repeat(np.arange(lo, lo + len(n)), many))
+            words.append(h)
+            base += len(h)
+        joined = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+        self.words, self.start, self.length, self.whose = joined(words, np.uint64), joined(start, np.int64), joined(length, np.int32), joined(whose, np.int32)
 
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
-    """The suffixes of seq in order, by doubling; each 0 ends a run and differs from every other 0."""
+    """The suffixes of seq in order, by doubling; seq ends with a symbol that occurs nowhere else. Only suffixes that are not yet told apart are sorted again."""
     n = len(seq)
-    rank = seq.astype(np.int64)
-    zeros = np.flatnonzero(rank == 0)
-    rank = rank + len(zeros)
-    rank[zeros] = np.arange(len(zeros))
-    _, rank = np.unique(rank, return_inverse=True)
+    order = np.argsort(seq, kind="stable")
+    new = np.concatenate([[True], seq[order[1:]] != seq[order[:-1]]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]  # the place of the first of its group
     h = 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - h] += rank[h:] + 1
-        order = np.argsort(key, kind="stable")
-        step = np.ones(n, np.int64)
-        step[0] = 0
-        step[1:] = key[order[1:]] != key[order[:-1]]
-        new = np.cumsum(step)
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
+    alone = new & np.concatenate([new[1:], [True]])
+    open_ = np.flatnonzero(~alone)  # places in order whose group has others
+    while len(open_):
+        some = order[open_]
+        key, group = rank[some + h], rank[some]  # a suffix near the end is alone, as the last symbol is
+        by = np.lexsort((key, group))
+        some, key, group = some[by], key[by], group[by]
+        order[open_] = some
+        new = np.ones(len(some), bool)
+        new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+        rank[some] = open_[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        alone = new & np.concatenate([new[1:], [True]])
+        open_ = open_[~alone]
         h *= 2
+    return order
+
+
+class Bits:
+    """A bit vector with ranks: words of 64 bits and the number of ones before each."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        packed = np.zeros((len(bits) >> 6) * 8 + 8, np.uint8)
+        some = np.packbits(bits, bitorder="little")
+        packed[: len(some)] = some
+        self.words = packed.view(np.uint64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)])
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """The number of ones before each position."""
+        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[at >> 6] + np.bitwise_count(self.words[at >> 6] & low).astype(np.int64)
 
 
 class WaveletMatrix:
@@ -104,63 +114,75 @@ class WaveletMatrix:
 
     def __init__(self, seq: np.ndarray) -> None:
         self.bits = max(1, int(seq.max()).bit_length()) if len(seq) else 1
-        self.ones, self.zeros = [], []
+        self.levels, self.zeros = [], []
         for b in range(self.bits - 1, -1, -1):
-            bit = (seq >> b) & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(bit, dtype=np.int32)]))
-            self.zeros.append(int(len(bit) - self.ones[-1][-1]))
-            seq = np.concatenate([seq[bit == 0], seq[bit == 1]])
+            bit = (seq >> b) & 1 > 0
+            self.levels.append(Bits(bit))
+            self.zeros.append(int(len(bit) - np.count_nonzero(bit)))
+            seq = np.concatenate([seq[~bit], seq[bit]])
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before each position."""
         lo, hi = np.zeros_like(at), at.copy()
         for level in range(self.bits):
             one = ((symbol >> (self.bits - 1 - level)) & 1).astype(bool)
-            ones = self.ones[level]
-            lo = np.where(one, self.zeros[level] + ones[lo], lo - ones[lo])
-            hi = np.where(one, self.zeros[level] + ones[hi], hi - ones[hi])
+            a, b = self.levels[level].rank(lo), self.levels[level].rank(hi)
+            lo = np.where(one, self.zeros[level] + a, lo - a)
+            hi = np.where(one, self.zeros[level] + b, hi - b)
         return hi - lo
 
 
 class FMIndex:
-    """Backward search and location over runs of symbols; run_start marks the first symbol of each run."""
-
-    def __init__(self, seq: np.ndarray, run_start: np.ndarray) -> None:
+    """Backward search and location in the words of some texts, given by hash; edge holds where each text's words begin and end."""
+
+    def __init__(self, h: np.ndarray, edge: np.ndarray) -> None:
+        texts, self.n = len(edge) - 1, len(h) + len(edge) - 1
+        self.vocabulary, code = np.unique(h, return_inverse=True)
+        which = np.repeat(np.arange(texts), np.diff(edge))
+        seq = np.empty(self.n, np.int64)
+        seq[np.arange(len(h)) + which] = code + texts
+        seq[edge[1:] + np.arange(texts)] = np.arange(texts)[::-1]  # end marks are symbols of their own, the last one the smallest
+        self.texts = texts
         sa = suffix_array(seq)
-        self.n = len(seq)
         self.bwt = seq[sa - 1]
         self.tree = WaveletMatrix(self.bwt)
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(seq, minlength=int(seq.max()) + 1))])
-        since = np.arange(self.n) - np.maximum.accumulate(np.where(run_start, np.arange(self.n), 0))
-        kept = (since % SAMPLE == 0)[sa]
-        self.place = np.where(kept, sa, -1)
-
-    def search(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(seq, minlength=texts + len(self.vocabulary)))])
+        since = np.arange(self.n) - np.repeat(edge[:-1] + np.arange(texts), np.diff(edge) + 1)
+        kept = (since % SAMPLE == 0)[sa]  # counted from the start of each text, so that no walk leaves it
+        self.marked, self.sample = Bits(kept), sa[kept].astype(np.int32)
+
+    def symbols(self, h: np.ndarray) -> np.ndarray:
+        """The symbol of each word; -1 if no text has it."""
+        if not len(self.vocabulary):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == h, at + self.texts, -1)
+
+    def search(self, words: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The suffix range of each phrase."""
-        lo, hi = np.zeros(len(symbols), np.int64), np.full(len(symbols), self.n, np.int64)
-        known = len(self.first) - 1
-        for back in range(symbols.shape[1]):
-            on = np.flatnonzero((lengths > back) & (hi > lo))
-            if not len(on):
-                continue
-            c = symbols[on, lengths[on] - 1 - back].astype(np.int64)
-            new = c < known
-            hi[on[~new]] = lo[on[~new]]
-            on, c = on[new], c[new]
+        symbols = self.symbols(words)
+        lo, hi = np.zeros(len(start), np.int64), np.full(len(start), self.n, np.int64)
+        on, back = np.flatnonzero(length > 0), 0
+        while len(on):
+            c = symbols[start[on] + length[on] - 1 - back]
+            hi[on[c < 0]] = lo[on[c < 0]]
+            on, c = on[c >= 0], c[c >= 0]
             lo[on] = self.first[c] + self.tree.rank(c, lo[on])
             hi[on] = self.first[c] + self.tree.rank(c, hi[on])
+            back += 1
+            on = on[(hi[on] > lo[on]) & (length[on] > back)]
         return lo, np.maximum(lo, hi)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
-        """The position of each suffix."""
+        """The position of each suffix, as a place among words and end marks."""
         at, walked = rows.copy(), np.zeros(len(rows), np.int64)
-        open_ = np.flatnonzero(self.place[at] < 0)
+        open_ = np.flatnonzero(~self.marked[at])
         while len(open_):
-            c = self.bwt[at[open_]].astype(np.int64)
+            c = self.bwt[at[open_]]
             at[open_] = self.first[c] + self.tree.rank(c, at[open_])
             walked[open_] += 1
-            open_ = open_[self.place[at[open_]] < 0]
-        return self.place[at] + walked
+            open_ = open_[~self.marked[at[open_]]]
+        return self.sample[self.marked.rank(at)] + walked
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -179,32 +201,20 @@ def search_shard(phrases: Phrases, data: np.ndarray, off: np.ndarray) -> list[di
     who = owner(off, starts)
     edge = np.searchsorted(who, np.arange(len(off)))
     out = [{"n_words": int(n), "words": [], "bytes": [], "items": []} for n in np.diff(edge)]
-    code = phrases.code(h)
-    run_lo, run_hi = spans(code > 0, edge)
-    long = (run_hi - run_lo >= phrases.shortest) & (phrases.shortest > 0)
-    run_lo, run_hi = run_lo[long], run_hi[long]
-    if not len(run_lo):
+    if not len(h) or not len(phrases.start):
         return out
-    size = run_hi - run_lo + 1  # each run and the 0 behind it
-    place = np.concatenate([[0], np.cumsum(size)])
-    seq, word = np.zeros(place[-1], np.int32), np.zeros(place[-1], np.int64)
-    word = np.arange(place[-1]) - np.repeat(place[:-1] - run_lo, size)
-    body = np.ones(place[-1], bool)
-    body[place[1:] - 1] = False
-    seq[body] = code[word[body]]
-    begin = np.zeros(place[-1], bool)
-    begin[place[:-1]] = True
-    index = FMIndex(seq, begin)
-    lo, hi = index.search(phrases.symbols, phrases.lengths)
+    index = FMIndex(h, edge)
+    lo, hi = index.search(phrases.words, phrases.start, phrases.length)
     some = np.flatnonzero(hi > lo)
     if not len(some):
         return out
     many = (hi - lo)[some]
     which = np.repeat(some, many)
     rows = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo[some], many)
-    first = word[index.locate(rows)]
-    doc = who[first]
-    last = first + phrases.lengths[which]
+    place = index.locate(rows)
+    doc = np.searchsorted(edge + np.arange(len(edge)), place, "right") - 1  # a place counts the end marks before it
+    first = place - doc
+    last = first + phrases.length[which]
     order = np.argsort(doc, kind="stable")
     cuts = np.flatnonzero(np.diff(doc[order])) + 1
     for part in np.split(order, cuts):
@@ -214,11 +224,12 @@ def search_shard(phrases: Phrases, data: np.ndarray, off: np.ndarray) -> list[di
         found = out[d]
         found["words"] = [{"start": a, "end": b} for a, b in merged]
         found["bytes"] = [{"start": int(starts[base + a] - off[d]), "end": int(ends[base + b - 1] - off[d])} for a, b in merged]
-        found["items"] = sorted({i for w in np.unique(which[part]).tolist() for i in phrases.items[w]})
+        found["items"] = sorted({phrases.items[i] for i in np.unique(phrases.whose[which[part]]).tolist()})
     return out
 
 
 def _joined(a: dict, b: dict) -> dict:
+    """What two blocks found in one text; rows of earlier passes come as dictionaries too."""
     both = lambda k: [{"start": x, "end": y} for x, y in _merged(*(np.array([s[e] for s in [*a[k], *b[k]]], dtype=np.int64) for e in ("start", "end")))]
     return {"n_words": b["n_words"], "words": both("words"), "bytes": both("bytes"), "items": sorted({*a["items"], *b["items"]})}
 
@@ -231,23 +242,26 @@ def _blocks(bench: DataFrame, window: int, block: int):
     blocks = max(1, -(-int(total) // block))
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield spark.sparkContext.broadcast(Phrases([tuple(r) for r in part.collect()], window))
-
-
-def _searched(held, col: pa.Array, shard: int) -> list[dict]:
-    found = None
-    for phrases in held:
-        made = [x for _, data, off in chunks(col, shard) for x in search_shard(phrases.value, data, off)]
-        found = made if found is None else [_joined(x, y) for x, y in zip(found, made, strict=True)]
-        if len(held) > 1 and getattr(phrases, "_path", None):  # a worker holds one block at a time, and loads it again for the next shard
-            vars(phrases).pop("_value", None)
-    return found
+        yield spark.sparkContext.broadcast(Phrases([tuple(r) for r in part.collect()], window)), b == blocks - 1
 
 
 def find(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard: int = SHARD, block: int = BLOCK) -> tuple[DataFrame, str]:
     """(docs with a column of FOUND structs, that column's name)."""
-    name, at, held = free_name(docs.columns, "found"), docs.columns.index("text"), list(_blocks(bench, window, block))
-    return with_column(docs, name, FOUND, lambda batch: _searched(held, batch.column(at), shard)), name
+    name, at, names, before = free_name(docs.columns, "found"), docs.columns.index("text"), docs.columns, False
+    for phrases, last in _blocks(bench, window, block):
+
+        def search(batch, phrases=phrases, before=before):
+            made = [x for _, data, off in chunks(batch.column(at), shard) for x in search_shard(phrases.value, data, off)]
+            if before:
+                made = [_joined(x, y) for x, y in zip(batch.column(len(names)).to_pylist(), made, strict=True)]
+            return made
+
+        docs = with_column(docs, name, FOUND, search, replace=before)
+        if not last:  # one block at a time: its broadcast goes when its pass is done
+            docs = materialize(docs, "found")
+            phrases.destroy()
+        before = True
+    return docs, name
 
 
 def sha256_ids(ids) -> str:
@@ -256,19 +270,20 @@ def sha256_ids(ids) -> str:
 
 def cleaned_documents(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """docs without the merged spans of benchmark passages; texts without any stay as they are. n_chars, if there, follows the text."""
-    held, names = list(_blocks(bench, window, block)), docs.columns
+    names, schema = docs.columns, docs.schema
+    found, _ = find(docs, bench, window, shard, block)
 
     def cut(batches):
         for b in slices(batches, 2500):
-            col = b.column(names.index("text"))
-            found = _searched(held, col, shard)
-            hit = [i for i, s in enumerate(found) if s["bytes"]]
+            spots = b.column(len(names)).to_pylist()
+            hit = [i for i, s in enumerate(spots) if s["bytes"]]
+            cols = dict(zip(names, b.columns, strict=False))
             if hit:
-                new, cols = col.to_pylist(), dict(zip(names, b.columns, strict=True))
+                new, col = cols["text"].to_pylist(), cols["text"]
                 size = cols["n_chars"].to_pylist() if "n_chars" in cols else None
                 for i in hit:
                     raw, at, kept = new[i].encode(), 0, []
-                    for x in found[i]["bytes"]:
+                    for x in spots[i]["bytes"]:
                         kept.append(raw[at : x["start"]])
                         at = x["end"]
                     new[i] = b"".join([*kept, raw[at:]]).decode()
@@ -277,7 +292,6 @@ def cleaned_documents(docs: DataFrame, bench: DataFrame, window: int = WINDOW, s
                 cols["text"] = pa.array(new, col.type)
                 if size:
                     cols["n_chars"] = pa.array(size, cols["n_chars"].type)
-                b = pa.RecordBatch.from_arrays(list(cols.values()), names=names)
-            yield b
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
 
-    return docs.mapInArrow(lean(cut), docs.schema)
+    return found.mapInArrow(lean(cut), schema)

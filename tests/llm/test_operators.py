@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from evencut.llm import decontamination, html_text, language, mixing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, toxicity
-from evencut.llm.common import held_out
+from evencut.llm.common import buffer, held_out
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, found string"
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa".split()
@@ -71,6 +71,35 @@ def test_decontamination(docs, bench, empty):
     assert decontamination.find(empty, bench)[0].count() == 0 and decontamination.find(docs, bench.limit(0))[0].count() == docs.count()
 
 
+def test_fm_index_against_plain_search():
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in (0, 1, 7, 40, 300, 5000)]
+    col = pa.array([*texts, None, texts[3]], pa.large_string())
+    ((_, data, off),) = decontamination.chunks(col, 1 << 20)
+    starts, _, h = decontamination.words_of(data, off)
+    edge = np.searchsorted(decontamination.owner(off, starts), np.arange(len(off)))
+    index = decontamination.FMIndex(h, edge)
+    assert len(index.sample) < len(h) / 4  # positions are kept sparsely
+    words = [w for t in [*texts, "", texts[3]] for w in [*t.split(), None]]  # None is an end mark
+    queries = [q.split() for q in ("a", "a b", "c c c a", "b a b a c", "d", "a d")]
+    _, _, qh = decontamination.words_of(*buffer(pa.array([" ".join(w for q in queries for w in q)])))
+    length = np.array([len(q) for q in queries])
+    lo, hi = index.search(qh, np.cumsum(length) - length, length)
+    for q, a, b in zip(queries, lo.tolist(), hi.tolist(), strict=True):
+        want = [k for k in range(len(words)) if words[k : k + len(q)] == q]
+        assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    rng = random.Random(14)
+    w = [f"w{rng.randrange(10**5)}" for _ in range(200_000)]
+    d = spark.createDataFrame([(1, " ".join(w)), (2, "short")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(w[199_000:199_020])), (2, " ".join(w[-3:]))], "item_id int, text string")
+    found, name = decontamination.find(d, b)
+    r = found.filter("doc_id = 1").first()[name]
+    assert [tuple(x) for x in r.words] == [(199_000, 199_020), (199_997, 200_000)] and r["items"] == ["1", "2"]
+
+
 def test_simhash(docs, empty):
     prints = []
     for r in rows():
