@@ -1,17 +1,21 @@
 """SimHash near-duplicates with pivot distance tables.
 
 A text's fingerprint has a bit for each bit that is set in over half the XXH64 values (seed 42) of its
-shingles. Distinct fingerprints are compared where they agree on enough bit blocks: two that differ in
-at most DISTANCE of 64 bits agree on at least b - DISTANCE of any b blocks, so those sets of blocks are
-keys that miss no pair, for any b. More blocks make more keys of more bits: BLOCKS = 6 gives 15 keys of
-21 bits, for up to some tens of millions of distinct fingerprints; 8 gives 70 keys of 32 bits. Inside a key, each fingerprint has its Hamming distances to PIVOTS reference fingerprints; by the triangle
-inequality a pair whose distances to some pivot differ by over DISTANCE is discarded, and the survivors
-are verified bit by bit. A key's links are returned as a forest, never as all pairs, and a key of over
-LARGE fingerprints is dealt out as pairs of parts. Components follow by alternating large-star and
-small-star steps on tables in the shared folder.
+shingles. Each distinct fingerprint has a row of Hamming distances to PIVOTS reference fingerprints; by the
+triangle inequality a pair whose distances to some pivot differ by over DISTANCE is discarded, and the
+survivors are verified bit by bit. Distances of 64-bit fingerprints to any pivot lie mostly within 32 +- 8, so
+tables alone leave a constant share of all pairs; they are kept for fingerprints that agree on enough bit
+blocks: two that differ in at most DISTANCE of 64 bits agree on at least b - DISTANCE of any b blocks, so
+those sets of blocks are keys that miss no pair, for any b. More blocks make more keys of more bits; their
+number follows from the number of distinct fingerprints, so that a key holds some CROWD of them (6 blocks make
+15 keys of 21 bits; 8 make 70 of 32). In a key fingerprints stand in the order of their first pivot distance,
+and only those within DISTANCE of each other there are looked at. A key's links are returned as a forest,
+never as all pairs, and a key of over LARGE fingerprints is dealt out as pairs of parts. Components follow by
+alternating large-star and small-star steps on tables in the shared folder. Joins on fingerprints or
+components that many rows share are dealt to SALTS tasks.
 
 Null and word-less texts have fingerprint 0 and are linked like any other; a text of fewer words than a
-shingle is one shingle; repeated rows share a fingerprint; a null doc_id takes part but is never the
+shingle is one shingle; a text of any length counts whole; repeated rows share a fingerprint; a null doc_id takes part but is never the
 smallest id unless all ids of its component are null; an empty table gives an empty result. Only doc_id
 and text are read, so other columns can't clash.
 """
@@ -26,9 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evencut.functions.loop import Loop
 from evencut.llm.common import free_name, lean, materialize, slices
 
-SHINGLE, DISTANCE, BLOCKS, PIVOTS, LARGE = 4, 4, 6, 16, 4096
+SHINGLE, DISTANCE, PIVOTS, LARGE, CROWD, SALTS = 4, 4, 16, 4096, 8, 16
 
 
 def fingerprint_batch(texts, shingle: int = SHINGLE) -> np.ndarray:
@@ -79,7 +84,15 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return d.mapInArrow(lean(run), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def key_masks(distance: int = DISTANCE, blocks: int = BLOCKS) -> list[int]:
+def blocks_for(count: int, distance: int = DISTANCE) -> int:
+    """The fewest blocks whose keys of so many random fingerprints hold CROWD or fewer."""
+    b = distance + 2
+    while b < 4 * distance and count > CROWD << 64 * (b - distance) // b:
+        b += 1
+    return b
+
+
+def key_masks(distance: int, blocks: int) -> list[int]:
     """Bit masks such that any two fingerprints within distance agree on all bits of one."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     part = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
@@ -92,18 +105,22 @@ def pivots(count: int = PIVOTS) -> np.ndarray:
 
 def _link(fp: np.ndarray, group: np.ndarray, side: np.ndarray, distance: int, reference: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the links within groups, as positions; rows are sorted by group. In a group with sides 0 and 1, only pairs across sides are compared; side 2 compares with all."""
-    table = np.bitwise_count(fp[:, None] ^ reference[None, :]).astype(np.int8)
+    first = np.bitwise_count(fp ^ reference[0]).astype(np.int16)
+    order = np.lexsort((first, group))
+    fp, group, side, first = fp[order], group[order], side[order], first[order]
+    table = np.bitwise_count(fp[:, None] ^ reference[None, 1:]).astype(np.int8)
     n, root = len(fp), np.arange(len(fp))
     left, right = [], []
     end = np.searchsorted(group, group, "right")
     live = np.arange(n)
     step = 1
     while len(live := live[live + step < end[live]]):
+        live = live[first[live + step] - first[live] <= distance]  # those behind are farther still
         a, b = live, live + step
         ok = (side[a] == 2) | (side[a] != side[b])
         a, b = a[ok], b[ok]
         near = np.ones(len(a), bool)
-        for p in range(0, len(reference), 4):  # pairs that a few pivots discard never see the others
+        for p in range(0, table.shape[1], 4):  # pairs that a few pivots discard never see the others
             at = np.flatnonzero(near)
             if not len(at):
                 break
@@ -115,10 +132,10 @@ def _link(fp: np.ndarray, group: np.ndarray, side: np.ndarray, distance: int, re
         a, b = a[new], b[new]
         while len(a):  # each round hooks larger roots under smaller ones and keeps one link for each hooked root
             hi, lo = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
-            _, first = np.unique(hi, return_index=True)
-            left.append(a[first])
-            right.append(b[first])
-            root[hi[first]] = lo[first]
+            _, one = np.unique(hi, return_index=True)
+            left.append(a[one])
+            right.append(b[one])
+            root[hi[one]] = lo[one]
             while True:
                 up = root[root]
                 if np.array_equal(up, root):
@@ -129,12 +146,12 @@ def _link(fp: np.ndarray, group: np.ndarray, side: np.ndarray, distance: int, re
         step += 1
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+    return order[np.concatenate(left)], order[np.concatenate(right)]
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
     """(a, b): fingerprints of distinct (column fp) that connect all pairs within distance."""
-    masks = key_masks(distance, blocks)
+    masks = key_masks(distance, blocks or blocks_for(distinct.count(), distance))
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks)])
     rows = distinct.select("fp", F.explode(keys).alias("k")).select("k.t", "k.key", "fp")
     crowd = rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -175,23 +192,24 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable, for each node of an edge table (a, b)."""
-    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    """(node, root): the smallest node reachable, for each node of an edge table (a, b) that has another."""
+    loop = Loop(edges.sparkSession)
+    now = loop.put("edges", edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     seen = mark(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        big = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        big = materialize(big, "large")
+        big = _salted_join(both, least, "u", F.xxhash64("v")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        big = loop.put("large", big)
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = materialize(small.filter("u <> v").distinct(), "small")
+        now = loop.put("edges", small.filter("u <> v").distinct())
         new = mark(now)
         if new == seen:
             break
         seen = new
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def groups(docs: DataFrame, distance: int = DISTANCE, order=lambda c: c) -> DataFrame:
@@ -200,10 +218,17 @@ def groups(docs: DataFrame, distance: int = DISTANCE, order=lambda c: c) -> Data
     smallest = lambda c: F.min_by(c, order(F.col(c)))
     distinct = materialize(prints.groupBy("fp").agg(smallest("doc_id").alias("rep")), "distinct")
     found = components(links(distinct.select("fp"), distance))
-    rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(smallest("rep").alias("component_id"))
-    by_print = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    linked = distinct.join(found, F.col("fp") == F.col("node")).select("fp", "rep", "root")
+    named = linked.groupBy("root").agg(smallest("rep").alias("component_id"))
+    linked = _salted_join(linked.drop("rep"), named, "root", F.xxhash64("fp")).select("fp", "component_id")
+    alone = distinct.join(found.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("rep").alias("component_id"))
+    return _salted_join(prints, linked.unionByName(alone), "fp", F.monotonically_increasing_id()).select("doc_id", "fp", "component_id")
+
+
+def _salted_join(rows: DataFrame, told: DataFrame, key: str, spread) -> DataFrame:
+    """rows with the columns of told, which has one row a key; a key of many rows is dealt to SALTS tasks."""
+    many = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(spread, F.lit(SALTS)).cast("int")).join(many, [key, "salt"]).drop("salt")
 
 
 def hexed(fp):

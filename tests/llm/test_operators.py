@@ -154,6 +154,39 @@ def test_key_masks_miss_no_pair():
             assert any(x & m == y & m for m in masks)
 
 
+def test_blocks_follow_the_count():
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 16_777_216, 16_777_217, 10**10, 10**12)] == [6, 6, 6, 7, 8, 10]
+
+
+def test_fingerprint_of_a_very_long_text():
+    w = [f"w{i % 9973}" for i in range(60_000)]
+    n = [0] * 64
+    for k in range(len(w) - 3):
+        h = xxhash.xxh64_intdigest(" ".join(w[k : k + 4]).encode(), 42)
+        for b in range(64):
+            n[b] += h >> b & 1
+    want = sum(1 << b for b in range(64) if 2 * n[b] > len(w) - 3)
+    assert simhash.fingerprint_batch([" ".join(w), None])[0] == want
+
+
+def test_links_are_those_of_all_pairs():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 64, 40, dtype=np.uint64)
+    fp = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(9)]]))
+    a, b = simhash._link(fp, np.zeros(len(fp), np.int64), np.full(len(fp), 2), 4, simhash.pivots())
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
+    assert near[a, b].all()
+    root = np.arange(len(fp))
+    for _ in range(len(fp)):
+        root = np.where(near, root[None, :], len(fp)).min(axis=1)
+    got = np.arange(len(fp))
+    for _ in range(len(fp)):
+        got[a] = got[b] = np.minimum(got[a], got[b])
+        for x, y in zip(a, b, strict=True):
+            got[x] = got[y] = min(got[x], got[y])
+    assert (got == root).all()
+
+
 def test_links_connect_a_hot_key():
     rng = np.random.default_rng(2)
     fp = np.unique(np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64))  # each two differ in two bits
