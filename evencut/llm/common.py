@@ -28,14 +28,6 @@ def free_name(taken: list[str], wanted: str) -> str:
     return wanted
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the cleaner drop shuffle files of finished steps."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def give_back() -> None:
     """Returns freed memory to the system."""
     import ctypes
@@ -60,13 +52,6 @@ def lean(run):
     return inner
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 1000 rows for the session, where it has more: texts of 10,000 rows take over 100 MB a task outside the heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > 1000:
-        spark.conf.set(key, "1000")
-
-
 def slices(batches, rows: int):
     """The batches in pieces of at most so many rows."""
     for b in batches:

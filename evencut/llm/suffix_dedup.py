@@ -31,7 +31,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evencut.llm.common import Hashes, chunks, lean, materialize, mix, owner, release, slices, small_batches
+from evencut.llm.common import Hashes, chunks, lean, materialize, mix, owner, slices
 
 LENGTH, FIRST = 100, 40
 RANGES, RANGE_BYTES, TASKS = 96, 8 << 20, 20_000  # ranges at least, bytes of text for each beyond, tasks at most
@@ -330,13 +330,9 @@ def _round2(docs: DataFrame, on: DataFrame, ranges: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, hash, text, starts, ends) of each row of docs: byte spans to remove, not yet merged (null if none)."""
-    spark = docs.sparkSession
-    small_batches(spark)
     ranges = ranges_of(docs)
     sure, on = _round1(docs, ranges)
-    release(spark)
     rest = _round2(docs, on, ranges)
-    release(spark)
     return _with_spans(docs, sure.unionByName(rest), "left")
 
 
