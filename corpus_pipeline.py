@@ -10,22 +10,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evencut.functions.loop import settle
 from evencut.llm import decontamination, mixing, quality_rules, sharding, simhash
-from evencut.llm.common import materialize, new_path, release, small_batches, table
+from evencut.llm.common import new_path, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return quality_rules.kept_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return simhash.first_documents(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return decontamination.cleaned_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -37,15 +35,16 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.store_and_locate(spark, docs, new_path(spark, "shards"))
 
 
-STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("decontamination", decontaminate), ("source mix", mix_sources), ("sharding", shard)]
+STAGES = [
+    ("quality rules", quality), ("near-dedup", near_dedup), ("decontamination", decontaminate), ("source mix", mix_sources), ("sharding", shard),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the documents table; each stage's output is a table in the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
-        release(spark)
+        docs = settle(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -66,12 +66,15 @@ def graph_summary(graph: Graph) -> DataFrame:
 
 
 def conversion_stats(graph: Graph) -> DataFrame:
-    """One row: unique edges, vertices with and without neighbours."""
-    return degrees(graph).agg(
+    """One row: unique edges, vertices with and without neighbours, and the bytes of the graph as adjacency text."""
+    counts = degrees(graph).agg(
         (F.coalesce(F.sum("degree"), F.lit(0)) / 2).cast("long").alias("unique_edges"),
         F.count_if(F.col("degree") > 0).alias("non_empty"),
         F.count_if(F.col("degree") == 0).alias("empty"),
     )
+    ids = graph.arcs.agg(F.coalesce(F.sum(F.length(F.col("dst").cast("string")) + 1), F.lit(0)).alias("b"))  # a space or line end behind each
+    size = F.col("b") + F.col("empty") + len(str(graph.n)) + 1
+    return counts.join(F.broadcast(ids)).select("unique_edges", "non_empty", "empty", size.alias("text_bytes"))
 
 
 def owners(graph: Graph, ranks: int) -> DataFrame:

@@ -56,8 +56,16 @@ def next_frontier(frontier: DataFrame, new: DataFrame, deg: DataFrame, theta: in
     return carry.select("part", "id", "degree").unionByName(entering.select("part", "id", "degree"))
 
 
-def expansion(graph: Graph, cfg: PartitionConfig, seeds: list[int] | None = None, max_rounds: int | None = None, trace: list | None = None) -> DataFrame:
-    """(id, label) after multi-source expansion; when every frontier is empty, all leftovers go to the smallest part and expand on."""
+def leftovers(graph: Graph, labels: DataFrame, size: dict[int, int]) -> DataFrame:
+    """(id, label): the vertices without label, all of the part that is smallest, then lowest."""
+    small = min(size, key=lambda p: (size[p], p))
+    return graph.vertices.join(labels, "id", "left_anti").select("id", F.lit(small).cast("int").alias("label"))
+
+
+def expansion(
+    graph: Graph, cfg: PartitionConfig, seeds: list[int] | None = None, max_rounds: int | None = None, trace: list | None = None, leave: bool = False
+) -> DataFrame:
+    """(id, label) after multi-source expansion; when every frontier is empty, all leftovers go to the smallest part and expand on, or, if asked, only they are returned."""
     loop = Loop(graph.vertices.sparkSession)
     deg = loop.put("degrees", degrees(graph))
     seeds = find_seeds(graph, deg, cfg.parts, cfg.strict_seeds) if seeds is None else seeds
@@ -68,10 +76,11 @@ def expansion(graph: Graph, cfg: PartitionConfig, seeds: list[int] | None = None
     while sum(size.values()) < graph.n and (max_rounds is None or rounds < max_rounds):
         rounds += 1
         if not waiting:
-            small = min(size, key=lambda p: (size[p], p))
-            rest = graph.vertices.join(labels, "id", "left_anti").select("id", F.lit(small).cast("int").alias("label"))
+            rest = leftovers(graph, labels, size)
+            if leave:
+                return rest
             labels = loop.put("labels", labels.unionByName(rest))
-            trace is not None and trace.append((rounds, "leftover", graph.n - sum(size.values())))
+            _log(cfg, trace, (rounds, "leftover", graph.n - sum(size.values())))
             break  # all are labelled: the same round would expand them without a further claim
         sizes = graph.vertices.sparkSession.createDataFrame(list(size.items()), "part int, size long")
         new = loop.put("new", expand_round(graph, labels, frontier, sizes, cfg.theta))
@@ -80,8 +89,15 @@ def expansion(graph: Graph, cfg: PartitionConfig, seeds: list[int] | None = None
         for r in new.groupBy("label").count().collect():
             size[r.label] += r["count"]
         waiting = frontier.count()
-        trace is not None and trace.append((rounds, "round", sum(size.values())))
-    return labels
+        _log(cfg, trace, (rounds, "round", sum(size.values())))
+    return labels if not leave else labels.limit(0)
+
+
+def _log(cfg: PartitionConfig, trace: list | None, row: tuple) -> None:
+    if trace is not None:
+        trace.append(row)
+    if cfg.verbose:
+        print("round {}: {}, {}".format(*row))
 
 
 def initial_partition(graph: Graph, cfg: PartitionConfig) -> DataFrame:

@@ -83,17 +83,17 @@ def measure(graph: Graph, labels: DataFrame, parts: int) -> dict:
 
 
 def phase_report(graph: Graph, labels: DataFrame, parts: int) -> DataFrame:
-    """One row with the metrics of an initial partition and its per-part counts as arrays."""
+    """One row with the metrics of an initial partition and its per-part counts as arrays; total_edges counts all edges, cut ones too."""
     m = measure(graph, labels, parts)
-    row = (m["edge_cut"], m["vertex_balance"], m["edge_balance"], m["total_vertices"], m["total_edges"], [m["vertices"][p] for p in range(parts)], [m["edges"][p] for p in range(parts)])
+    row = (m["edge_cut"], m["vertex_balance"], m["edge_balance"], m["total_vertices"], m["total_edges"] + m["edge_cut"], [m["vertices"][p] for p in range(parts)], [m["edges"][p] for p in range(parts)])
     return labels.sparkSession.createDataFrame([row], "edge_cut long, vertex_balance double, edge_balance double, total_vertices long, total_edges long, part_vertices array<long>, part_edges array<long>")
 
 
-def comparison_report(graph: Graph, before: DataFrame, after: DataFrame, parts: int) -> DataFrame:
-    """(metric, phase1, phase2, improvement_pct, verdict) for cut and balances."""
+def comparison_report(graph: Graph, before: DataFrame, after: DataFrame, parts: int, times_ms: tuple[float, float] | None = None) -> DataFrame:
+    """(metric, phase1, phase2, improvement_pct, verdict) for cut, balances and, if given, both phases' times; what is not improved is worsened, also if equal."""
     a, b = measure(graph, before, parts), measure(graph, after, parts)
     rows = []
-    for k in ("edge_cut", "vertex_balance", "edge_balance"):
-        x, y = float(a[k]), float(b[k])
-        rows.append((k, round(x, 6), round(y, 6), round((x - y) / x * 100 if x else 0.0, 4), "improved" if x > y else "worsened" if y > x else "unchanged"))
+    told = [(k, float(a[k]), float(b[k])) for k in ("edge_cut", "vertex_balance", "edge_balance")]
+    for k, x, y in told + ([("time_ms", *map(float, times_ms))] if times_ms else []):
+        rows.append((k, round(x, 6), round(y, 6), round((x - y) / x * 100 if x else 0.0, 4), "improved" if x > y else "worsened"))
     return before.sparkSession.createDataFrame(rows, "metric string, phase1 double, phase2 double, improvement_pct double, verdict string")

@@ -125,7 +125,16 @@ def sqls() -> dict[str, str]:
     gh = "gh AS MATERIALIZED (SELECT DISTINCT (src % 3)::INTEGER AS rank, dst AS gid FROM arc WHERE src % 3 <> dst % 3)"
     ptr = "ptr AS MATERIALIZED (SELECT (id % 3)::INTEGER AS rank, (id // 3)::BIGINT AS local_idx, id AS gid, label, (sum(degree) OVER w - degree)::BIGINT AS row_start, (sum(degree) OVER w)::BIGINT AS row_end FROM deg JOIN l0 USING (id) WINDOW w AS (PARTITION BY id % 3 ORDER BY id))"
     full = [*base(), *refinement(ITERS)]
-    trace = " UNION ALL ".join(f"SELECT {i + 1}::INTEGER AS iter, (SELECT count(*) FROM mv{i})::BIGINT AS moves, cut AS edge_cut FROM nc{i} WHERE (SELECT go FROM fl{i})" for i in range(ITERS))
+    still = lambda i: f"(SELECT count(*) FROM mv{i}) = 0"
+    calm = lambda i: f"CASE WHEN {still(i)} THEN (SELECT calm FROM fl{i}) ELSE (SELECT calm FROM fl{i + 1}) END"
+    trace = " UNION ALL ".join(
+        f"SELECT {i + 1}::INTEGER AS iter, (SELECT count(*) FROM mv{i})::BIGINT AS moves, cut AS edge_cut, "
+        f"round(CASE WHEN {still(i)} THEN 0 WHEN (SELECT cut FROM cut{i}) = 0 THEN 1 ELSE abs(cut - (SELECT cut FROM cut{i})) / (SELECT cut FROM cut{i})::DOUBLE END, 6) AS rel_change, "
+        f"({calm(i)})::INTEGER AS streak, "
+        f"CASE WHEN {still(i)} THEN CASE WHEN (SELECT count(*) FROM sel{i}) = 0 THEN 'empty boundary' ELSE 'no change' END WHEN {calm(i)} >= 10 THEN 'patience' ELSE '' END AS stop "
+        f"FROM nc{i} WHERE (SELECT go FROM fl{i})"
+        for i in range(ITERS)
+    )
     pen = lambda it: query([*one, *stats(0, "l0"), *penalty(0, "x", it)], "SELECT label, round(pen, 6) AS penalty, round(re, 6) AS re FROM pnx")
     last = f"l{ITERS}"
     both = [*full, *stats(900, "l0"), *stats(901, last)]
@@ -142,7 +151,7 @@ def sqls() -> dict[str, str]:
         "graph_summary_dense": summary("pp"),
         "graph_summary_cust_supp": summary("cs"),
         "graph_summary_cust_part": summary("cp"),
-        "conversion_stats": query(b, "SELECT (SELECT count(*) FROM e) AS unique_edges, count(*) FILTER (degree > 0) AS non_empty, count(*) FILTER (degree = 0) AS empty FROM deg"),
+        "conversion_stats": query(b, "SELECT (SELECT count(*) FROM e) AS unique_edges, count(*) FILTER (degree > 0) AS non_empty, count(*) FILTER (degree = 0) AS empty, ((SELECT sum(length(dst::VARCHAR) + 1) FROM arc) + count(*) FILTER (degree = 0) + length(count(*)::VARCHAR) + 1)::BIGINT AS text_bytes FROM deg"),
         "lorenz_curve": query(b, "SELECT id, degree, row_number() OVER w AS pos, (sum(degree) OVER w)::BIGINT AS cum, round(row_number() OVER w / (count(*) OVER ())::DOUBLE, 6) AS x, round((sum(degree) OVER w)::BIGINT / (sum(degree) OVER ())::DOUBLE, 6) AS y FROM deg WINDOW w AS (ORDER BY degree, id ROWS UNBOUNDED PRECEDING)"),
         "hub_nodes": query([*b, HUBS], "SELECT id, degree FROM hub"),
         "first_seed": query([*b, FIRST], "SELECT id, degree FROM s0"),
@@ -164,22 +173,38 @@ def sqls() -> dict[str, str]:
         "boundary_vertices": query(it1, "SELECT id, label FROM bd0"),
         "boundary_selected_iter1": query(it1, "SELECT id, label FROM sel0"),
         "boundary_candidates": query(it1, "SELECT id FROM sel0 UNION SELECT dst FROM arc WHERE src IN (SELECT id FROM sel0)"),
-        "boundary_subgraph": query(it1, "SELECT src, dst FROM arc WHERE src IN (SELECT id FROM sel0)"),
+        "boundary_subgraph": query(it1, "SELECT src, dst, x.label, y.label AS dst_label, dst IN (SELECT id FROM sel0) AS dst_selected FROM arc JOIN l0 x ON x.id = src JOIN l0 y ON y.id = dst WHERE src IN (SELECT id FROM sel0)"),
         "neighbor_label_scores": query(it1, "SELECT id, lv, c, label FROM sc0 JOIN l0 USING (id)"),
         "lp_step": query(it1, "SELECT id, label FROM mv0"),
         "lp_apply_deltas": query(it1, "SELECT id, label FROM l1"),
         "lp_3_iters": query([*base(), *refinement(3)], "SELECT id, label FROM l3"),
         "refine_full": query(full, f"SELECT id, label FROM {last}"),
         "refine_trace": query(full, trace),
-        "comparison_report": query(both, " UNION ALL ".join(f"SELECT '{n}' AS metric, round(a, 6) AS phase1, round(b, 6) AS phase2, round(CASE WHEN a <> 0 THEN (a - b) / a * 100 ELSE 0 END, 4) AS improvement_pct, CASE WHEN a > b THEN 'improved' WHEN b > a THEN 'worsened' ELSE 'unchanged' END AS verdict FROM (SELECT {x} AS a, {y} AS b)" for n, x, y in cmp_rows)),
+        "comparison_report": query(both, " UNION ALL ".join(f"SELECT '{n}' AS metric, round(a, 6) AS phase1, round(b, 6) AS phase2, round(CASE WHEN a <> 0 THEN (a - b) / a * 100 ELSE 0 END, 4) AS improvement_pct, CASE WHEN a > b THEN 'improved' ELSE 'worsened' END AS verdict FROM (SELECT {x} AS a, {y} AS b)" for n, x, y in cmp_rows)),
         "frontier_topk": query(one, "SELECT part, id, degree FROM (SELECT label AS part, id, degree, row_number() OVER (PARTITION BY label ORDER BY degree, id) AS rn FROM deg JOIN l0 USING (id)) WHERE rn <= 5"),
         "expansion_claims": query([*b, *expansion(1)], "SELECT id, part FROM cl0"),
         "expansion_round1": query([*b, *expansion(1)], "SELECT id, label FROM nw0"),
         "expansion_full": query(ex, f"SELECT id, label FROM xl{ROUNDS}"),
-        "expansion_report": query([*ex, *stats(0, f"xl{ROUNDS}")], "SELECT (SELECT cut FROM cut0) AS edge_cut, sum(vertices)::BIGINT AS total_vertices, sum(edges)::BIGINT AS total_edges, string_agg(vertices::VARCHAR, ' ' ORDER BY label) AS part_vertices FROM st0"),
-        "leftover_assign": query(b, "SELECT id FROM deg WHERE degree = 0"),
-        "ghosts_r4": query([*one, gh], "SELECT rank, gid, (gid % 3)::INTEGER AS owner, label FROM gh JOIN l0 ON id = gid"),
-        "csr_row_ptr_r4": query([*one, ptr], "SELECT rank, local_idx, gid, label, row_start, row_end FROM ptr"),
-        "csr_col_idx_r4": query([*one, gh, ptr, "nl AS (SELECT rank, count(*) AS n FROM ptr GROUP BY 1)", "gi AS (SELECT rank, gid, n + row_number() OVER (PARTITION BY rank ORDER BY gid) - 1 AS ix FROM gh JOIN nl USING (rank))"], "SELECT p.rank, row_start + row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS pos, coalesce(ix, dst // 3)::BIGINT AS col_index FROM arc JOIN ptr p ON p.gid = src LEFT JOIN gi ON gi.rank = p.rank AND gi.gid = dst"),
+        "expansion_report": query([*ex, *stats(0, f"xl{ROUNDS}")], "SELECT (SELECT cut FROM cut0) AS edge_cut, sum(vertices)::BIGINT AS total_vertices, (SELECT count(*) FROM e) AS total_edges, "
+            f"round({bal(0, 'vertices')}, 6) AS vertex_balance, round({bal(0, 'edges')}, 6) AS edge_balance, "
+            "string_agg(vertices::VARCHAR, ' ' ORDER BY label) AS part_vertices, string_agg(edges::VARCHAR, ' ' ORDER BY label) AS part_edges FROM st0"),
+        "leftover_assign": query(ex, " UNION ALL ".join(f"SELECT id, label FROM lo{k}" for k in range(ROUNDS))),
+        "ghosts_r3": query([*one, gh], "SELECT rank, gid, (gid % 3)::INTEGER AS owner, label FROM gh JOIN l0 ON id = gid"),
+        "csr_row_ptr_r3": query([*one, ptr], "SELECT rank, local_idx, gid, label, row_start, row_end FROM ptr"),
+        "csr_col_idx_r3": query([*one, gh, ptr, "nl AS (SELECT rank, count(*) AS n FROM ptr GROUP BY 1)", "gi AS (SELECT rank, gid, n + row_number() OVER (PARTITION BY rank ORDER BY gid) - 1 AS ix FROM gh JOIN nl USING (rank))"], "SELECT p.rank, row_start + row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS pos, coalesce(ix, dst // 3)::BIGINT AS col_index FROM arc JOIN ptr p ON p.gid = src LEFT JOIN gi ON gi.rank = p.rank AND gi.gid = dst"),
         "adjacency_text_roundtrip": query(b, "SELECT src, dst FROM e"),
+        "directed_text_roundtrip": query(b, "SELECT src, dst FROM e"),
+        "properties_roundtrip": query(b, "SELECT 'nodes' AS key, n::VARCHAR AS value FROM nv UNION ALL SELECT 'arcs', count(*)::VARCHAR FROM arc"),
+        "labels_roundtrip": query(one, "SELECT id, label FROM l0"),
+        "merged_levels": query(
+            [*b, *seeds(2)],
+            "SELECT id, min(level)::INTEGER AS level FROM (SELECT id, 0 AS level FROM seeds UNION ALL SELECT dst, 1 FROM arc JOIN seeds ON src = id "
+            "UNION ALL SELECT b.dst, 2 FROM arc a JOIN seeds ON a.src = id JOIN arc b ON b.src = a.dst) GROUP BY 1",
+        ),
+        "sweep_rows": query(
+            both,
+            f"SELECT 'order_part' AS graph, 'modulo' AS mode, {P} AS parts, {THETA} AS theta, (SELECT cut FROM cut900) AS cut1, (SELECT cut FROM cut901) AS cut2, "
+            f"round({bal(901, 'vertices')}, 6) AS vertex_balance, round({bal(901, 'edges')}, 6) AS edge_balance, "
+            f"(SELECT count(*) FROM ({trace})) AS iterations",
+        ),
     }

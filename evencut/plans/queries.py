@@ -9,6 +9,7 @@ from evencut.config import PartitionConfig
 from evencut.functions.loop import materialize, new_path
 from evencut.operators import graph as g
 from evencut.operators import hubs, initial, layout, metrics, refine, traverse
+from evencut.plans.sweep import sweep
 from evencut.sources import tables, text
 
 P, THETA, RANKS = 4, 1000, 4
@@ -140,7 +141,7 @@ def label_ratios(spark, d):
 
 def partition_summary(spark, d):
     graph, labels = _modulo(spark, d)
-    return metrics.partition_summary(labels, P, graph.n)
+    return metrics.partition_summary(labels.unionByName(labels.filter("id % 3 = 0")), P, graph.n)  # a repeated vertex counts once
 
 
 def penalties_iter1(spark, d):
@@ -153,7 +154,7 @@ def penalties_iter5(spark, d):
 
 def boundary_vertices(spark, d):
     graph, labels = _modulo(spark, d)
-    return refine.boundary(refine.label_scores(graph, labels))
+    return refine.boundary(refine.vertex_scores(graph, labels, P)).select("id", "label")
 
 
 def _chosen(spark, d):
@@ -161,37 +162,36 @@ def _chosen(spark, d):
     graph = graph.kept()
     m = metrics.measure(graph, labels, P)
     pen, re = refine.penalties(m["vertices"], m["edges"], P, 1)
-    scores = materialize(refine.label_scores(graph, labels), "scores")
-    chosen = refine.select_boundary(refine.boundary(scores), g.degrees(graph), re, 1)
-    return graph, labels, scores, chosen, pen
+    scores = materialize(refine.vertex_scores(graph, labels, P), "scores")
+    return graph, labels, refine.select_boundary(refine.boundary(scores), re, 1), pen
 
 
 def boundary_selected_iter1(spark, d):
-    return _chosen(spark, d)[3]
+    return _chosen(spark, d)[2].select("id", "label")
 
 
 def boundary_candidates(spark, d):
-    graph, _, _, chosen, _ = _chosen(spark, d)
+    graph, _, chosen, _ = _chosen(spark, d)
     return refine.candidates(graph, chosen)
 
 
 def boundary_subgraph(spark, d):
-    graph, _, _, chosen, _ = _chosen(spark, d)
-    return refine.boundary_subgraph(graph, chosen)
+    graph, labels, chosen, _ = _chosen(spark, d)
+    return refine.boundary_subgraph(graph, chosen, labels)
 
 
 def neighbor_label_scores(spark, d):
-    return refine.label_scores(*_modulo(spark, d))
+    return refine.label_rows(refine.vertex_scores(*_modulo(spark, d), P))
 
 
 def lp_step(spark, d):
-    _, _, scores, chosen, pen = _chosen(spark, d)
-    return refine.lp_moves(scores, chosen, pen)
+    _, _, chosen, pen = _chosen(spark, d)
+    return refine.lp_moves(chosen, pen)
 
 
 def lp_apply_deltas(spark, d):
-    _, labels, scores, chosen, pen = _chosen(spark, d)
-    return refine.apply_deltas(labels, refine.lp_moves(scores, chosen, pen))
+    _, labels, chosen, pen = _chosen(spark, d)
+    return refine.apply_deltas(labels, refine.lp_moves(chosen, pen))
 
 
 def lp_3_iters(spark, d):
@@ -207,7 +207,7 @@ def refine_full(spark, d):
 def refine_trace(spark, d):
     graph, labels = _modulo(spark, d)
     trace = refine.refine(graph.kept(), labels, PartitionConfig(parts=P))[1]
-    return refine.trace_frame(spark, trace).select("iter", "moves", "edge_cut")
+    return refine.trace_frame(spark, trace)
 
 
 def comparison_report(spark, d):
@@ -247,25 +247,25 @@ def expansion_full(spark, d):
 def expansion_report(spark, d):
     graph = tables.order_part(spark, d).kept()
     labels = initial.expansion(graph, PartitionConfig(parts=P, mode="expand", theta=THETA))
-    return metrics.phase_report(graph, labels, P).select("edge_cut", "total_vertices", "total_edges", F.concat_ws(" ", F.col("part_vertices").cast("array<string>")).alias("part_vertices"))
+    told = metrics.phase_report(graph, labels, P)
+    lists = [F.concat_ws(" ", F.col(c).cast("array<string>")).alias(c) for c in ("part_vertices", "part_edges")]
+    return told.select("edge_cut", "total_vertices", "total_edges", *[F.round(c, 6).alias(c) for c in ("vertex_balance", "edge_balance")], *lists)
 
 
 def leftover_assign(spark, d):
-    """Vertices that no round reaches: what only the leftover rule labels."""
-    graph = tables.order_part(spark, d).kept()
-    deg = g.degrees(graph)
-    return deg.filter("degree = 0").select("id")
+    """Vertices that no round reaches, and the part that the leftover rule gives them to."""
+    return initial.expansion(tables.order_part(spark, d).kept(), PartitionConfig(parts=P, mode="expand", theta=THETA), leave=True)
 
 
-def ghosts_r4(spark, d):
+def ghosts_r3(spark, d):
     return layout.ghosts(*_modulo(spark, d), 3)
 
 
-def csr_row_ptr_r4(spark, d):
+def csr_row_ptr_r3(spark, d):
     return layout.csr_row_ptr(*_modulo(spark, d), 3)
 
 
-def csr_col_idx_r4(spark, d):
+def csr_col_idx_r3(spark, d):
     return layout.csr_col_idx(*_modulo(spark, d), 3)
 
 
@@ -275,11 +275,45 @@ def adjacency_text_roundtrip(spark, d):
     return text.read_adjacency(spark, path, strict=True).edges
 
 
+def directed_text_roundtrip(spark, d):
+    """Orders with their parts as directed adjacency text, read as a normalised graph."""
+    path, graph = new_path(spark, "directed"), tables.order_part(spark, d)
+    text.write_adjacency(graph, path, graph.edges)
+    return text.read_adjacency(spark, path, strict=True).edges
+
+
+def properties_roundtrip(spark, d):
+    path = new_path(spark, "properties")
+    summary = g.graph_summary(tables.order_part(spark, d))
+    pairs = F.explode(F.create_map(F.lit("nodes"), F.col("vertices"), F.lit("arcs"), 2 * F.col("edges")))
+    text.write_properties(summary.select(pairs), path)
+    return text.read_properties(spark, path)
+
+
+def labels_roundtrip(spark, d):
+    path = new_path(spark, "labels")
+    text.write_labels(_modulo(spark, d)[1], path)
+    return spark.read.parquet(path)
+
+
+def merged_levels(spark, d):
+    """Levels up to 2 from the first two seeds, found one by one."""
+    graph = tables.order_part(spark, d).kept()
+    found = traverse.find_seeds(graph, g.degrees(graph), 2)
+    return traverse.merge_levels([traverse.bfs_levels(graph, spark.createDataFrame([(s,)], "id long"), 2) for s in found])
+
+
+def sweep_rows(spark, d):
+    rows = sweep(spark, {"order_part": tables.order_part(spark, d)}, modes=("modulo",), parts=(P,), thetas=(THETA,))
+    return rows.select("graph", "mode", "parts", "theta", "cut1", "cut2", *[F.round(c, 6).alias(c) for c in ("vertex_balance", "edge_balance")], "iterations")
+
+
 NAMES = """edges_normalized arcs_per_vertex adjacency_lists adjacency_lists_cleaned vertex_degrees graph_summary
 graph_summary_dense graph_summary_cust_supp graph_summary_cust_part conversion_stats lorenz_curve hub_nodes first_seed
 bfs_levels coverage_ball next_seed seeds_p4 seeds_topup_dense modulo_labels rank_ownership edge_cut part_vertex_counts
 part_edge_counts part_balance label_ratios partition_summary penalties_iter1 penalties_iter5 boundary_vertices
 boundary_selected_iter1 boundary_candidates boundary_subgraph neighbor_label_scores lp_step lp_apply_deltas lp_3_iters
 refine_full refine_trace comparison_report frontier_topk expansion_claims expansion_round1 expansion_full
-expansion_report leftover_assign ghosts_r4 csr_row_ptr_r4 csr_col_idx_r4 adjacency_text_roundtrip""".split()
+expansion_report leftover_assign ghosts_r3 csr_row_ptr_r3 csr_col_idx_r3 adjacency_text_roundtrip
+directed_text_roundtrip properties_roundtrip labels_roundtrip merged_levels sweep_rows""".split()
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -41,16 +41,16 @@ def read_adjacency(spark: SparkSession, path: str, strict: bool = False) -> Grap
     return normalize(arcs, n)
 
 
-def adjacency_text(graph: Graph) -> DataFrame:
-    """(id, value): each vertex's neighbours in ascending order, space-joined; "" for an isolated vertex."""
-    lists = graph.arcs.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
+def adjacency_text(graph: Graph, arcs: DataFrame | None = None) -> DataFrame:
+    """(id, value): each vertex's neighbours (or those by the given arcs) in ascending order, space-joined; "" for a vertex without any."""
+    lists = (graph.arcs if arcs is None else arcs).groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
     return graph.vertices.join(lists, graph.vertices.id == lists.src, "left").select("id", F.coalesce(F.concat_ws(" ", "nbrs"), F.lit("")).alias("value"))
 
 
-def write_adjacency(graph: Graph, path: str) -> None:
-    """One folder of text files that read in name order as one adjacency text; a range sort, never a single task."""
+def write_adjacency(graph: Graph, path: str, arcs: DataFrame | None = None) -> None:
+    """One folder of text files that read in name order as one adjacency text, directed if arcs are given; a range sort, never a single task."""
     head = graph.vertices.sparkSession.createDataFrame([(-1, str(graph.n))], "id long, value string")
-    head.unionByName(adjacency_text(graph)).orderBy("id").select("value").write.text(path)
+    head.unionByName(adjacency_text(graph, arcs)).orderBy("id").select("value").write.text(path)
 
 
 def read_properties(spark: SparkSession, path: str) -> DataFrame:
@@ -59,5 +59,10 @@ def read_properties(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter("value not like '#%' and value like '%=%'").select(F.trim(kv[0]).alias("key"), F.trim(kv[1]).alias("value"))
 
 
+def write_properties(properties: DataFrame, path: str) -> None:
+    """(key, value) as a key=value file."""
+    properties.select(F.concat_ws("=", F.col("key").cast("string"), F.col("value").cast("string")).alias("value")).write.text(path)
+
+
 def write_labels(labels: DataFrame, path: str) -> None:
     labels.select("id", "label").write.parquet(path)

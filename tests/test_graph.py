@@ -1,5 +1,6 @@
 """Golden values of the ten-vertex graph, edge cases and invariants."""
 
+import math
 import random
 
 import pytest
@@ -54,6 +55,46 @@ def test_expansion(spark, tiny):
     assert labels_of(last) == [0, 0, 0, 0, 0, 0, 1, 1, 1, 1] and tr[-1][5] == "no change"
 
 
+def test_leftovers_of_a_component_without_seed(spark, capsys):
+    graph = make(spark, [*TINY, (10, 11), (11, 12)], 14).kept()
+    cfg = PartitionConfig(parts=2, mode="expand", theta=1, verbose=True)
+    rest = initial.expansion(graph, cfg, seeds=[2, 6], leave=True)
+    assert sorted(map(tuple, rest.collect())) == [(9, 1), (10, 1), (11, 1), (12, 1), (13, 1)]
+    labels = {r.id: r.label for r in initial.expansion(graph, cfg, seeds=[2, 6]).collect()}
+    assert [labels[i] for i in range(14)] == [0] * 5 + [1] * 9
+    assert "leftover, 5" in capsys.readouterr().out
+    first = initial.expansion(graph, cfg, seeds=[2, 6], max_rounds=1)
+    assert sorted(map(tuple, first.collect())) == [(0, 0), (1, 0), (2, 0), (3, 0), (5, 1), (6, 1), (7, 1), (8, 1)]
+
+
+def test_refinement_needs_labels(spark, tiny, capsys):
+    for bad in (initial.modulo_labels(tiny, 2).filter("id > 0"), initial.modulo_labels(tiny, 2).selectExpr("id", "IF(id = 3, null, label) AS label")):
+        with pytest.raises(ValueError):
+            refine.refine(tiny, bad, PartitionConfig(parts=2))
+    refine.refine(tiny, initial.modulo_labels(tiny, 2), PartitionConfig(parts=2, verbose=True))
+    assert "iteration 1: " in capsys.readouterr().out
+
+
+def test_equal_values_are_worsened(spark, tiny):
+    same = initial.modulo_labels(tiny, 2)
+    rows = metrics.comparison_report(tiny, same, same, 2, (5.0, 4.0)).collect()
+    assert [r.verdict for r in rows] == ["worsened"] * 3 + ["improved"]
+
+
+def test_tables_are_dropped(spark, tiny, tmp_path):
+    from evencut.functions import loop
+
+    kept = dict(loop._made)
+    loop._made.clear()
+    df = loop.materialize(spark.range(3))
+    files, at = next(iter(loop._made.values()))
+    out = loop.settle(lambda: loop.materialize(df).filter("id > 0"), "out")
+    assert len(loop._made) == 2 and out.count() == 2
+    loop.drop_tables()
+    assert not loop._made and not files.exists(at)
+    loop._made.update(kept)
+
+
 def test_cleaning(spark):
     graph = make(spark, [(0, 0), (0, 1), (1, 0), (0, 1), (1, 7), (-1, 0), (None, 1)], 3)
     assert [tuple(r) for r in graph.edges.collect()] == [(0, 1)]
@@ -88,7 +129,7 @@ def test_penalties_balance():
     assert abs(sum(pen)) < 1e-9 and abs(sum(re) / 3 - 1) < 1e-12
 
 
-def test_random_graph_against_plain_python(spark):
+def test_random_graph_against_plain_python(spark, monkeypatch):
     rng = random.Random(5)
     n, edges = 60, list({tuple(sorted(rng.sample(range(60), 2))) for _ in range(150)})
     graph = make(spark, edges, n).kept()
@@ -105,9 +146,10 @@ def test_random_graph_against_plain_python(spark):
         if best is not None and any(labels[v] != labels[u] for v in near[u]) and best != labels[u] and count[best] * (1 + pen[best]) > count[labels[u]]:
             want[u] = best
     df = initial.modulo_labels(graph, 3)
-    scores = refine.label_scores(graph, df)
-    got = {r.id: r.label for r in refine.lp_moves(scores, refine.boundary(scores), pen).collect()}
-    assert got == want
+    for wide in (64, 1):  # labels counted as columns, and as rows
+        monkeypatch.setattr(refine, "WIDE", wide)
+        scores = refine.vertex_scores(graph, df, 3)
+        assert {r.id: r.label for r in refine.lp_moves(refine.boundary(scores), pen).collect()} == want
 
 
 def test_smallest_per_group(spark):
@@ -118,6 +160,10 @@ def test_smallest_per_group(spark):
     got = sorted(tuple(r) for r in smallest_per_group(df, "g", "o", wanted).collect())
     want = sorted(x for p, k in ((0, 7), (2, 500)) for x in sorted(r for r in rows if r[0] == p)[:k])
     assert got == want
+    for share in (0.0, 0.3, 1.0):
+        got = sorted(tuple(r) for r in smallest_per_group(df, "g", "o", share).collect())
+        sizes = [[r for r in rows if r[0] == k] for k in range(3)]
+        assert got == sorted(x for r in sizes for x in sorted(r)[: math.ceil(share * len(r))])
 
 
 def test_text_round_trip(spark, tiny, tmp_path):
