@@ -2,23 +2,29 @@
 
 A byte goes if a string of LENGTH bytes that covers it also starts earlier: at a smaller key, or in the
 same text at an earlier place. Positions are ranked by ever longer prefixes and leave as soon as they are
-unique; ranks are 64-bit hashes of the prefixes, which only have to tell equal from different.
+unique; what is left at LENGTH bytes is repeated.
 
-Round 1 ranks prefixes of FIRST bytes. It need not hold every position: of the prefixes inside any LENGTH
-bytes, the one of smallest hash (the leftmost, if several) is that string's anchor, so equal strings have
+The first round need not hold every position: of the prefixes of FIRST bytes inside any LENGTH bytes, the one of
+smallest hash (the leftmost, if several) is that string's anchor, so equal strings have
 equal anchors at equal places, and only anchors are ranked. With an anchor goes a hash of all bytes that
-its strings cover: in a class of equal (prefix, bytes), all strings of all but the earliest anchor are
-repeats, whatever the size of the class, and that anchor alone goes on, if its prefix occurs elsewhere.
-Round 2 ranks the strings of those anchors at full length as pairs of ranks (prefix at the start, prefix
-at offset LENGTH - FIRST joined with what lies between), and in a class all but the earliest are repeats.
-Classes are dealt out by ranges of ranks, as many as the bytes of text ask for, and sorted there. Before that,
-a task settles what it can tell by itself: of equal strings among HELD of its positions, all but the
+its strings cover. Spark deals and sorts the pairs (prefix, covered bytes) by ranges of ranks: in a class of equal
+pairs, 128 bits together, all strings of all but the earliest anchor are repeats, whatever the size of the class,
+and that anchor alone goes on, if its prefix occurs elsewhere with other bytes around it.
+
+What goes on is sent with its bytes, again dealt and sorted by the ranks of prefixes. There, ranks of positions double:
+from words of 8 bytes, pairs of ranks (at a position, and at growing offsets 8, 16, 32 and 36 behind it) are
+sorted and ranked anew, until a string is unique or LENGTH bytes are ranked. These ranks are exact, so no
+string is taken for another by a hash. In a class all but the earliest string are repeats.
+
+Classes are dealt out by ranges of ranks, as many as the bytes of text ask for. Before that,
+a task settles what it can tell by itself: of equal pairs among HELD of its anchors, all but the
 earliest are repeats wherever else they occur, so a passage that a third of all texts share sends one
-position for each HELD to its range. Positions whose prefix is shared but whose strings differ all go there.
+position for each HELD to its range. A prefix with over HOT different surroundings is dealt out by its whole strings in
+the second round.
 
-Null texts are empty; texts shorter than LENGTH repeat nothing; rows that share doc_id and text are the
+Null texts are empty; texts shorter than LENGTH repeat nothing; texts of any length are searched whole; rows that share doc_id and text are the
 same place, so none of them is earlier, and rows that share only doc_id are told apart and ordered by 40 bits of a hash of the text;
-a null doc_id comes first. An empty table gives an empty result. Only doc_id and text are read.
+a null doc_id comes first; ids are integers or cast to them, and an id that is none raises. An empty table gives an empty result. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ from evencut.llm.common import Hashes, chunks, lean, materialize, mix, owner, sl
 LENGTH, FIRST = 100, 40
 RANGES, RANGE_BYTES, TASKS = 96, 8 << 20, 20_000  # ranges at least, bytes of text for each beyond, tasks at most
 CHUNK, ROWS = 1 << 19, 500  # bytes of text, and rows of results, that a task works on at once
-HELD = 200_000  # positions that a task settles by itself at once
+HELD, HOT = 200_000, 4096  # positions that a task settles by itself at once; surroundings of a prefix that are settled together
 
 
 def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -189,18 +195,20 @@ def _merged(doc, hash_, start, end):
     return doc[at], hash_[at], start[at], reach[np.append(at[1:], len(doc)) - 1]
 
 
-def _by_text(doc, hash_, start, end) -> pa.RecordBatch:
-    """(doc, hash, starts, ends): one row for each text of sorted spans."""
+def _by_text(doc, hash_, **of: np.ndarray) -> pa.RecordBatch:
+    """(doc, hash and a list for each of the others): one row for each text of rows that are sorted by text."""
     edge = np.append(np.flatnonzero(_groups(doc, hash_)), len(doc)).astype(np.int32)
-    lists = lambda x: pa.ListArray.from_arrays(pa.array(edge), pa.array(x.astype(np.int64)))
-    return pa.RecordBatch.from_arrays([pa.array(doc[edge[:-1]]), pa.array(hash_[edge[:-1]]), lists(start), lists(end)], names=["doc", "hash", "starts", "ends"])
+    lists = [pa.ListArray.from_arrays(pa.array(edge), pa.array(x.astype(np.int64))) for x in of.values()]
+    return pa.RecordBatch.from_arrays([pa.array(doc[edge[:-1]]), pa.array(hash_[edge[:-1]]), *lists], names=["doc", "hash", *of])
 
 
 def _spans_of(doc, hash_, start, end) -> pa.RecordBatch:
-    return _by_text(*_merged(doc, hash_, start, end))
+    doc, hash_, start, end = _merged(doc, hash_, start, end)
+    return _by_text(doc, hash_, starts=start, ends=end)
 
 
 SPANS = "doc long, hash long, starts array<long>, ends array<long>"
+MORE = ("ranks", "inner")  # of what goes on: its prefix's rank, and how far its anchor lies behind its first start (-1: by whole strings)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -212,7 +220,7 @@ def _reach(g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return g["place"] - g["lo"], g["place"] - g["hi"].astype(np.int64) + (LENGTH - FIRST) + LENGTH
 
 
-def _round1(docs: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame]:
+def _round1(docs: DataFrame, ranges: int, crowd: int) -> tuple[DataFrame, DataFrame]:
     """(spans that are settled, anchors that go on)."""
     names = ["rank", "body", "doc", "hash", "place", "lo", "hi"]
 
@@ -239,7 +247,9 @@ def _round1(docs: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame]:
 
     def settle(batches):
         def rows(spans, kind):
-            return pa.RecordBatch.from_arrays([*spans.columns, pa.array(np.full(spans.num_rows, kind, np.int8))], names=[*spans.schema.names, "kind"])
+            none = pa.array([None] * spans.num_rows, pa.list_(pa.int64()))
+            lists = [spans.column(c) if c in spans.schema.names else none for c in ("doc", "hash", "starts", "ends", *MORE)]
+            return pa.RecordBatch.from_arrays([*lists, pa.array(np.full(spans.num_rows, kind, np.int8))], names=["doc", "hash", "starts", "ends", *MORE, "kind"])
 
         for part, g in _gathered(batches, names):
             if part >= ranges:
@@ -258,19 +268,25 @@ def _round1(docs: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame]:
             # the earliest of each body goes on if its prefix has other bodies
             reps = np.flatnonzero(head)
             n = np.diff(np.append(np.flatnonzero(_groups(g["rank"][reps])), len(reps)))
-            on = reps[np.repeat(n > 1, n)]
-            on = on[np.lexsort((start[on], g["hash"][on], g["doc"][on]))]
-            yield rows(_by_text(g["doc"][on], g["hash"][on], start[on], end[on] - LENGTH), 1)
+            some = np.repeat(n > 1, n)
+            on, hot = reps[some], np.repeat(n > crowd, n)[some]
+            order = np.lexsort((start[on], g["hash"][on], g["doc"][on]))
+            on, hot = on[order], hot[order]
+            inner = np.where(hot, -1, g["place"][on] - start[on])
+            yield rows(_by_text(g["doc"][on], g["hash"][on], starts=start[on], ends=end[on] - LENGTH, ranks=g["rank"][on].view(np.int64), inner=inner), 1)
 
-    out = materialize(_laid(sent, ranges).mapInArrow(lean(settle), SPANS + ", kind tinyint"), "round1")
-    return out.filter("kind = 0").drop("kind"), out.filter("kind = 1").drop("kind")
+    lists = "".join(f", {c} array<long>" for c in MORE)
+    out = materialize(_laid(sent, ranges).mapInArrow(lean(settle), SPANS + lists + ", kind tinyint"), "round1")
+    return out.filter("kind = 0").drop("kind", *MORE), out.filter("kind = 1").drop("kind")
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    """(doc_id, hash, text, starts, ends): texts with all their span lists."""
-    lists = spans.groupBy("doc", "hash").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    """(doc_id, hash, text and the list columns of spans): texts with all their lists."""
+    names = [c for c in spans.columns if c not in ("doc", "hash")]
+    one = F.collect_list(F.struct(*names)).alias("one")  # lists that belong together stay so
+    lists = spans.groupBy("doc", "hash").agg(one).select("doc", "hash", *[F.flatten(f"one.{c}").alias(c) for c in names])
     keyed = _keyed(docs).withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumnRenamed("hash", "h")
-    return keyed.join(lists, (keyed.doc == lists.doc) & (keyed.h == lists.hash), how).select("doc_id", F.col("h").alias("hash"), "text", "starts", "ends")
+    return keyed.join(lists, (keyed.doc == lists.doc) & (keyed.h == lists.hash), how).select("doc_id", F.col("h").alias("hash"), "text", *names)
 
 
 def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -280,65 +296,134 @@ def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
 
 
+class Regions:
+    """What the second round sends of a prefix's surroundings: rank, place (doc, hash, first start), number of starts, distance of the anchor, and bytes."""
+
+    KINDS = {"rank": np.uint64, "doc": np.int64, "hash": np.int64, "start": np.int64, "count": np.uint8, "inner": np.uint8}
+
+    def __init__(self, of: dict[str, np.ndarray], data: np.ndarray) -> None:
+        self.of, self.data = of, data
+
+    def cells(self, ranges: int) -> pa.RecordBatch:
+        """A row for each range of ranks."""
+        part = (mix(self.of["rank"]) >> np.uint64(32)).astype(np.int64) * ranges >> 32
+        size = self.of["count"].astype(np.int64) + LENGTH - 1
+        at = np.cumsum(size) - size
+        order = np.argsort(part, kind="stable")
+        kept, edges = np.unique(part[order], return_index=True)
+        edges = [*edges.tolist(), len(part)]
+        n = size[order]
+        laid = self.data[np.repeat(at[order] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        cols = [pa.array(kept, pa.int32())]
+        for v in self.of.values():
+            cols.append(pa.array([_planes(v[order][x:y]) for x, y in zip(edges, edges[1:], strict=False)], pa.binary()))
+        cols.append(pa.array([laid[upto[x] : upto[y]].tobytes() for x, y in zip(edges, edges[1:], strict=False)], pa.binary()))
+        return pa.RecordBatch.from_arrays(cols, names=["part", *self.of, "data"])
+
+    def repeats(self) -> tuple[np.ndarray, ...]:
+        """(doc, hash, start, end) of the strings that also start earlier, by prefix doubling over the strings of equal prefixes."""
+        count = self.of["count"].astype(np.int64)
+        size = count + LENGTH - 1
+        at = np.cumsum(size) - size
+        _, group = np.unique(self.of["rank"], return_inverse=True)
+        region = np.repeat(np.arange(len(count)), count)
+        nth = np.arange(len(region)) - np.repeat(np.cumsum(count) - count, count)
+        place = at[region] + nth  # of each string in data
+        # equal strings have equal anchors at equal distances
+        label = ranked(group[region] * 256 + (self.of["inner"].astype(np.int64)[region] - nth))
+        padded = np.concatenate([self.data, np.zeros(LENGTH, np.uint8)])
+        rank, done = ranked(np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(self.data)].copy().view(np.uint64).ravel()), 8
+        live = np.arange(len(region))
+        while len(live):
+            live = live[shared(label[live], rank[place[live]])]  # unique strings leave
+            if done == LENGTH or not len(live):
+                break
+            step = min(done, LENGTH - done)
+            ahead = np.concatenate([rank[step:], np.zeros(step, rank.dtype)])
+            rank, done = ranked(rank * (len(rank) + 1) + ahead), done + step
+        doc, hash_, start = (self.of[k][region[live]] for k in ("doc", "hash", "start"))
+        start = start + nth[live]
+        order = np.lexsort((start, hash_, doc, rank[place[live]], label[live]))
+        g = {"doc": doc[order], "hash": hash_[order], "place": start[order]}
+        dup = _later(g, _groups(label[live][order], rank[place[live]][order]))
+        return g["doc"][dup], g["hash"][dup], g["place"][dup], g["place"][dup] + LENGTH
+
+
+def ranked(keys: np.ndarray) -> np.ndarray:
+    """Dense ranks of keys."""
+    return np.unique(keys, return_inverse=True)[1].astype(np.int64)
+
+
+def shared(*keys: np.ndarray) -> np.ndarray:
+    """Which rows have their keys in common with another row."""
+    order = np.lexsort(keys)
+    new = _groups(*[k[order] for k in keys])
+    many = np.diff(np.append(np.flatnonzero(new), len(order))) > 1
+    out = np.zeros(len(order), bool)
+    out[order] = np.repeat(many, np.diff(np.append(np.flatnonzero(new), len(order))))
+    return out
+
+
 def _round2(docs: DataFrame, on: DataFrame, ranges: int) -> DataFrame:
     """Spans of the strings that the remaining anchors share."""
-    names = ["rank", "body", "doc", "hash", "place"]
-    whole = lambda g: (g["place"], g["place"] + LENGTH)
+    names = [*Regions.KINDS, "data"]
 
     def local(batches):
-        held, m = [], 0
         for b in slices(batches, 4 * ROWS):
             ids, hash_ = _keys(b)
-            starts, so = _lists(b.column(3))
-            ends, _ = _lists(b.column(4))
+            lists = [_lists(b.column(3 + k)) for k in range(4)]
+            so = lists[0][1]
             for row, data, off in chunks(b.column(2), CHUNK):
                 n = len(off) - 1
-                s, e = starts[so[row] : so[row + n]], ends[so[row] : so[row + n]]
+                s, e, rank, inner = (x[so[row] : so[row + n]] for x, _ in lists)
                 who = np.repeat(np.arange(n), np.diff(so[row : row + n + 1]))
-                count = e - s + 1
-                at = np.repeat(s - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-                who = np.repeat(who, count)
-                hashes = Hashes(data)
-                p = off[who] + at
-                left, right = hashes.of(p, p + FIRST), hashes.of(p + FIRST, p + LENGTH)
-                rank = mix(left ^ (right * np.uint64(0x9FB21C651E98DF25)))
-                held.append({"rank": rank, "doc": ids[row + who], "hash": hash_[row + who], "place": at})
-                m += len(at)
-                if m >= HELD:
-                    yield from _dealt(held, names, ("rank",), whole, ranges)
-                    held, m = [], 0
-        if held:
-            yield from _dealt(held, names, ("rank",), whole, ranges)
+                rank, hot, count = rank.view(np.uint64).copy(), inner < 0, e - s + 1
+                if hot.any():  # one region for each string
+                    many = np.where(hot, count, 1)
+                    of = np.repeat(np.arange(len(s)), many)
+                    nth = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+                    s, who, rank, count, hot, inner = s[of] + nth, who[of], rank[of], np.where(hot, 1, count)[of], hot[of], np.where(hot, 0, inner)[of]
+                    p = off[who[hot]] + s[hot]
+                    rank[hot] = Hashes(data).of(p, p + LENGTH)
+                size, p = count + LENGTH - 1, off[who] + s
+                laid = data[np.repeat(p - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+                of = {"rank": rank, "doc": ids[row + who], "hash": hash_[row + who], "start": s, "count": count.astype(np.uint8), "inner": inner.astype(np.uint8)}
+                if len(s):
+                    yield Regions(of, laid).cells(ranges)
 
     def settle(batches):
-        for part, g in _gathered(batches, names):
-            if part >= ranges:
-                yield _spans_of(g["doc"], g["hash"], g["place"], g["body"].view(np.int64))
-                continue
-            order = np.argsort(g["rank"], kind="stable")
-            size = np.diff(np.append(np.flatnonzero(_groups(g["rank"][order])), len(order)))
-            order = order[np.repeat(size > 1, size)]
-            g = {k: g[k][order] for k in ("rank", "doc", "hash", "place")}
-            order = np.lexsort((g["place"], g["hash"], g["doc"], g["rank"]))
-            g = {k: v[order] for k, v in g.items()}
-            dup = _later(g, _groups(g["rank"]))
-            yield _spans_of(g["doc"][dup], g["hash"][dup], g["place"][dup], g["place"][dup] + LENGTH)
+        def ended(rows):
+            of = {n: np.concatenate([_numbers(r[i], kind) for r in rows]) for i, (n, kind) in enumerate(Regions.KINDS.items())}
+            return _spans_of(*Regions(of, np.frombuffer(b"".join(r[-1] for r in rows), np.uint8)).repeats())
+
+        now, held = None, []
+        for b in batches:
+            cols = [c.to_pylist() for c in b.columns]
+            for k, part in enumerate(cols[0]):
+                if part != now and held:
+                    yield ended(held)
+                    held = []
+                now = part
+                held.append([c[k] for c in cols[1:]])
+        if held:
+            yield ended(held)
 
     sent = _with_spans(docs, on, "inner").mapInArrow(lean(local), "part int, " + ", ".join(f"{n} binary" for n in names))
     return materialize(_laid(sent, ranges).mapInArrow(lean(settle), SPANS), "round2")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, crowd: int = HOT) -> DataFrame:
     """(doc_id, hash, text, starts, ends) of each row of docs: byte spans to remove, not yet merged (null if none)."""
     ranges = ranges_of(docs)
-    sure, on = _round1(docs, ranges)
+    sure, on = _round1(docs, ranges, crowd)
     rest = _round2(docs, on, ranges)
     return _with_spans(docs, sure.unionByName(rest), "left")
 
 
-def removed(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+def removed(docs: DataFrame, keep_text: bool = False, crowd: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) and, if asked for, the kept bytes of each row of docs."""
-    found = repeated_spans(docs)
+    found = repeated_spans(docs, crowd)
     kind = found.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + ", kept binary" * keep_text
 

@@ -209,12 +209,42 @@ def test_suffix_dedup(spark, empty):
                 mark[s : s + 100] = b"\x01" * 100
             seen.add(b[s : s + 100])
         want[i] = (len(b), sum(mark), hashlib.sha256(bytes(c for c, m in zip(b, mark, strict=True) if not m)).hexdigest())
-    for rows_ in (d, d.coalesce(1)):  # repeats found after the exchange, and by the task that reads them
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.removed(rows_).collect()}
+    # repeats found after the exchange, and by the task that reads them; surroundings settled together, and string by string
+    for rows_, crowd in ((d, suffix_dedup.HOT), (d.coalesce(1), suffix_dedup.HOT), (d, 1)):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.removed(rows_, crowd=crowd).collect()}
         assert got == want
     assert suffix_dedup.removed(empty).count() == 0
 
 
+def test_doubling_against_plain_search():
+    rng = random.Random(15)
+    base = bytes(rng.choice(b"ab") for _ in range(300))
+    regions, flat = [], b""
+    for k in range(40):  # pieces of one text and some noise, in two classes of prefixes
+        n, at = rng.randrange(1, 40), rng.randrange(150)
+        data = base[at : at + n + 99] if k % 4 else bytes(rng.choice(b"ab") for _ in range(n + 99))
+        regions.append((k % 2, k // 3, 0, 1000 * (k % 3), n, 60 - at % 8, data))
+        flat += data
+    of = {c: np.array([r[i] for r in regions], kind) for i, (c, kind) in enumerate(suffix_dedup.Regions.KINDS.items())}
+    got = sorted(zip(*(x.tolist() for x in suffix_dedup.Regions(of, np.frombuffer(flat, np.uint8)).repeats()), strict=True))
+    places = collections.defaultdict(list)
+    for rank, doc, hash_, start, n, inner, data in regions:
+        for j in range(n):
+            places[rank, inner - j, data[j : j + 100]].append((doc, hash_, start + j))
+    want = sorted((d, h, p, p + 100) for v in places.values() for d, h, p in v if (d, h, p) != min(v))
+    assert got == want and want
+
+
+def test_suffix_dedup_of_repeated_rows_and_long_texts(spark):
+    rng = random.Random(16)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(400_000))
+    d = spark.createDataFrame([(1, long), (2, "x" + long[200_000:200_300]), (2, "x" + long[200_000:200_300]), (None, long[:150])], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.removed(d).collect()))
+    assert got == [(0, 150, 0, 0), (1, 400_000, 150, 1), (2, 301, 300, 1), (2, 301, 300, 1)]
+    ids = spark.createDataFrame([("7", "t" * 250), ("8", "t" * 250)], "doc_id string, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in suffix_dedup.removed(ids).collect()) == [("7", 249), ("8", 250)]
+
+
 def test_mixing(docs, empty):
     m = mixing.Mix(docs, block=64)
     got = m.rows().collect()
