@@ -15,6 +15,7 @@ from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}  # by application: the folder of a local session that names none
 _made: dict[str, tuple] = {}  # tables that exist: file system and path of each
 
@@ -61,11 +62,21 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     """Writes df to the shared folder and reads it back: the plan starts anew, and a lost executor costs one read."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    _keep(spark, path)
-    df.write.parquet(path)
+    _write(spark, df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _write(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """Writes df; its shuffle files go with the job, not with the driver's next garbage collection."""
+    _keep(spark, path)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
+
+
 def settle(make, tag: str) -> DataFrame:
     """materialize(make()); the tables that make() left behind go."""
     before = set(_made)
@@ -84,8 +95,7 @@ class Loop:
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         path = new_path(self.spark, name)
-        _keep(self.spark, path)
-        df.write.parquet(path)
+        _write(self.spark, df, path)
         old = self.paths.pop(name, [])
         for p in old[:-1]:
             drop_path(p)
