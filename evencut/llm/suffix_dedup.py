@@ -147,7 +147,9 @@ def _dealt(held: list[dict[str, np.ndarray]], names: list[str], keys: tuple[str,
 
 
 def _laid(sent: DataFrame, ranges: int) -> DataFrame:
-    return sent.repartition(min(ranges, TASKS), "part").sortWithinPartitions("part")
+    """Ranges dealt to tasks in turn: by a hash of their numbers some task would get several."""
+    tasks = min(ranges, TASKS)
+    return sent.repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part")
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
