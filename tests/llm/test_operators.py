@@ -514,7 +514,7 @@ def test_toxicity_is_kneser_ney(spark, monkeypatch):
     for c in (0, 1):
         for h in ("", vocabulary[0], "nasty", "neverseen"):
             assert np.isclose(sum(p(c, h, w) for w in [*vocabulary, "neverseen"]), 1)
-    assert any(r.level == 2 for r in fitted.tables[fitted.d].collect())
+    assert any(r.level == 2 for r in fitted.counts.telling(fitted.d).collect())
     share = total[1] / sum(total)
     some = {r.doc_id: r for r in toxicity.scores(docs, labels, discounts=(1, 3)).collect()}
     joined = {r.doc_id: r for r in toxicity.scores(docs, labels, discounts=(1, 3), table=0).collect()}  # tables too large for a task
