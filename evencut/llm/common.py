@@ -133,7 +133,7 @@ _VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers["up"]) < n:
-        size = max(n, CHUNK + 1)
+        size = 1 << max(19, (n - 1).bit_length())
         up = np.full(size, _BASE, np.uint64)
         down = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
