@@ -106,6 +106,15 @@ def test_many_rounds_are_few_jobs(spark):
     assert [labels[i] for i in range(n)] == [0] * 100 + [1] * 99 + [1]
 
 
+def test_leftovers_after_many_rounds_are_few_jobs(spark):
+    graph = make(spark, [(i, i + 1) for i in range(98)], 102).kept()
+    spark.sparkContext.setJobGroup("leftovers", "")
+    rest = initial.expansion(graph, PartitionConfig(parts=2, mode="expand", theta=1), seeds=[0, 98], leave=True).collect()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("leftovers")) < 20
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, rest)) == [(99, 1), (100, 1), (101, 1)]
+
+
 def test_refinement_needs_labels(spark, tiny, capsys):
     for bad in (initial.modulo_labels(tiny, 2).filter("id > 0"), initial.modulo_labels(tiny, 2).selectExpr("id", "IF(id = 3, null, label) AS label")):
         with pytest.raises(ValueError):
