@@ -241,20 +241,19 @@ def expansion_round1(spark, d):
 
 
 def expansion_full(spark, d):
-    return initial.expansion(tables.order_part(spark, d).kept(), PartitionConfig(parts=P, mode="expand", theta=THETA))
+    return initial.expansion(tables.order_part(spark, d), PartitionConfig(parts=P, mode="expand", theta=THETA))
 
 
 def expansion_report(spark, d):
-    graph = tables.order_part(spark, d).kept()
-    labels = initial.expansion(graph, PartitionConfig(parts=P, mode="expand", theta=THETA))
-    told = metrics.phase_report(graph, labels, P)
+    cfg = PartitionConfig(parts=P, mode="expand", theta=THETA)
+    told = metrics.phase_report(initial.expansion_counts(tables.order_part(spark, d), cfg), P)
     lists = [F.concat_ws(" ", F.col(c).cast("array<string>")).alias(c) for c in ("part_vertices", "part_edges")]
     return told.select("edge_cut", "total_vertices", "total_edges", *[F.round(c, 6).alias(c) for c in ("vertex_balance", "edge_balance")], *lists)
 
 
 def leftover_assign(spark, d):
     """Vertices that no round reaches, and the part that the leftover rule gives them to."""
-    return initial.expansion(tables.order_part(spark, d).kept(), PartitionConfig(parts=P, mode="expand", theta=THETA), leave=True)
+    return initial.expansion(tables.order_part(spark, d), PartitionConfig(parts=P, mode="expand", theta=THETA), leave=True)
 
 
 def ghosts_r3(spark, d):

@@ -84,6 +84,50 @@ def test_packed_expansion_equals_the_loop(spark, monkeypatch):
         initial.expansion(star, PartitionConfig(parts=2, mode="expand", strict_seeds=True))
 
 
+def test_neighbour_lists_of_repeated_pairs(spark, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(4)
+    pairs = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(4000)] + [(7, i) for i in range(0, 2600)]
+    graph = make(spark, pairs * 2 + [(b, a) for a, b in pairs], 3000)
+    want = {}
+    for a, b in pairs:
+        if a != b:
+            want.setdefault(a, set()).add(b)
+            want.setdefault(b, set()).add(a)
+    for arcs in (1 << 20, 300):  # in one piece, and in pieces that repeat each other
+        monkeypatch.setattr(initial.packed, "ARCS", arcs)
+        got = {}
+        for row in initial.packed.neighbour_lists(graph).collect():
+            ids, many, near = (np.frombuffer(x, "<i4").tolist() for x in row)
+            for i, k in zip(ids, many, strict=True):
+                assert i not in got
+                got[i], near = near[:k], near[k:]
+            assert not near
+        assert got == {i: sorted(x) for i, x in want.items()}
+
+
+def _tables_of(spark, name):
+    """What a query returns at sf0.001, and the names of the tables that it wrote."""
+    from evencut.functions import loop
+    from evencut.plans.queries import QUERIES
+
+    before = set(loop._made)
+    out = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    return out, sorted(p.rpartition("/")[2].rpartition("-")[0] for p in set(loop._made) - before)
+
+
+def test_report_writes_no_edges_and_joins_no_labels(spark, monkeypatch):
+    out, made = _tables_of(spark, "expansion_report")
+    assert made == ["counts", "lists"]
+    monkeypatch.setattr(initial.packed, "VERTICES", -1)
+    assert _tables_of(spark, "expansion_report")[0] == out
+    monkeypatch.setattr(initial.packed, "VERTICES", 1 << 24)
+    graph, cfg = make(spark, [*TINY, *TINY, (10, 11)], 13), PartitionConfig(parts=3, mode="expand", theta=1)
+    rows = lambda df: sorted(tuple(-1 if x is None else x for x in r) for r in df.collect())
+    assert rows(initial.expansion_counts(graph, cfg)) == rows(metrics.label_counts(graph, initial.expansion(graph, cfg)))
+
+
 def test_frontier_keeps_its_order():
     import numpy as np
 
