@@ -159,6 +159,10 @@ def test_leftovers_after_many_rounds_are_few_jobs(spark):
     assert sorted(map(tuple, rest)) == [(99, 1), (100, 1), (101, 1)]
 
 
+def test_leftovers_write_no_edges(spark):
+    assert _tables_of(spark, "leftover_assign")[1] == ["labels", "lists"]
+
+
 def test_refinement_needs_labels(spark, tiny, capsys):
     for bad in (initial.modulo_labels(tiny, 2).filter("id > 0"), initial.modulo_labels(tiny, 2).selectExpr("id", "IF(id = 3, null, label) AS label")):
         with pytest.raises(ValueError):
