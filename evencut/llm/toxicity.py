@@ -16,7 +16,10 @@ smaller class, D = BIGRAM * d), else every rare word would look likelier in the
 A text of either class is mostly ordinary prose, so both models give 1 - OWN of each word's probability to
 their common mixture. A text's evidence is the difference of its two log-likelihoods, each word's measured
 from the text's median word (a language that is a little rarer in one class shifts all of its words alike),
-over its words and PRIOR_WORDS more. d comes from DISCOUNTS by the log-loss of the calibrating rows.
+over its words and PRIOR_WORDS more. There is one evidence of the bigrams p_c(w | h) and one of the continuation
+counts u_c(w) alone: the score is logistic in both, so that the calibrating rows say how much either order is worth,
+and bigrams keep what their discounts leave even where the labels are too few to trust them as much as words.
+d comes from DISCOUNTS by the log-loss of the calibrating rows.
 
 Counts cover every training row and are exact: distinct bigrams, by the 64-bit hashes of their words, are
 grouped and joined as tables that grow with the corpus. What differs from the backoff reaches the scoring
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 from evencut.llm.common import ALNUM, LOWER, Hashes, chunks, held_out, lean, materialize, mix, owner, slices, spans, training
 
 CALIBRATE, TABLE, LABELS = 200_000, 8_000_000, 2_000_000
-DISCOUNTS, BIGRAM, OWN, PRIOR_WORDS = (1, 2, 4, 8, 16, 32), 64, 0.01, 20.0
+DISCOUNTS, BIGRAM, OWN, PRIOR_WORDS = (1, 2, 4, 8, 16, 32), 1, 0.01, 20.0
 PART = (1 << 19) - 1  # bytes of text that a task takes at once
 PAIR = np.uint64(0x9FB21C651E98DF25)
 
@@ -98,16 +101,18 @@ class Counts:
         back = self.words.agg(*[F.coalesce(F.sum(F.least(F.col(f"m{c}_{d}"), F.lit(self.small[d][c]))), F.lit(0.0)).alias(f"m{c}_{d}") for d in discounts for c in (0, 1)]).first()
         self.back = {d: [max(back[f"m{c}_{d}"], 1e-9) for c in (0, 1)] for d in discounts}
 
-        # what stands out at the smallest d does for all: few of the bigrams, their contexts, and the words above their discounts
+        # what stands out at the smallest d does for all: bigrams, their contexts, and the words above their discounts
         d = min(discounts)
         self.large = materialize(self.bigrams.filter((F.col("n0") > self.big[d][0]) | (F.col("n1") > self.big[d][1])), "large")
-        inside = self.bigrams.join(self.large.select("context").distinct(), "context", "left_semi")
+        n = self.large.count()
+        few = (lambda x: F.broadcast(x)) if n <= LABELS else (lambda x: x)  # so that neither all bigrams nor all words are exchanged
+        inside = self.bigrams.join(few(self.large.select("context").distinct()), "context", "left_semi")
         given = [F.sum(F.least(F.col(f"n{c}").cast("double"), F.lit(self.big[d][c]))).alias(f"r{c}_{d}") for d in discounts for c in (0, 1)]
         self.contexts = materialize(inside.groupBy("context").agg(*[F.sum(f"n{c}").cast("double").alias(f"h{c}") for c in (0, 1)], *given), "contexts")
         above = reduce(lambda x, y: x | y, [F.col(f"m{c}_{d}") > self.small[d][c] for d in discounts for c in (0, 1)])
         needed = self.large.select("word").distinct().withColumn("needed", F.lit(True))
-        self.telling_words = materialize(self.words.join(needed, "word", "left").filter(above | F.col("needed")).drop("needed"), "telling")
-        self.size = self.large.count() + self.contexts.count() + self.telling_words.count()
+        self.telling_words = materialize(self.words.join(few(needed), "word", "left").filter(above | F.col("needed")).drop("needed"), "telling")
+        self.size = n + self.contexts.count() + self.telling_words.count()
 
     def unseen(self, d: int) -> float:
         """log u_1 / u_0 of a word whose counts are all given to the backoff."""
@@ -145,7 +150,7 @@ class Counts:
 
 
 class Model:
-    """Evidence of texts from tables of log-ratios held in memory."""
+    """Both evidences of texts from tables of log-ratios held in memory."""
 
     def __init__(self, counts: Counts, unseen: float, rows: pa.Table) -> None:
         self.counts, self.unseen = counts, unseen
@@ -162,22 +167,23 @@ class Model:
         at = np.searchsorted(known[:-1], keys)
         return r[at], (known[at] == keys) & (at < len(known) - 1)
 
-    def ratio(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log p_1(w | h) / p_0(w | h) of each word in its context."""
+    def ratios(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log p_1(w | h) / p_0(w | h) of each word in its context, and log u_1(w) / u_0(w)."""
         own, hit = self._find(0, word)
-        out = np.where(hit, own, self.unseen)
+        alone = np.where(hit, own, self.unseen)
         left, hit = self._find(1, context)
-        out += np.where(hit, left, 0.0)
+        out = alone + np.where(hit, left, 0.0)
         some = np.flatnonzero(hit)  # only these contexts have bigrams of their own
         pair, hit = self._find(2, paired(context[some], word[some]))
         out[some[hit]] = pair[hit]
-        return out
+        return out, alone
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
-        out = np.zeros(len(texts))
+        out = np.zeros((2, len(texts)))
         for lo, data, off in chunks(texts, PART):
             who, context, word = tokens(data, off)
-            out[lo : lo + len(off) - 1] = centred(who, self.counts.weigh(self.ratio(context, word)), len(off) - 1)
+            for k, r in enumerate(self.ratios(context, word)):
+                out[k, lo : lo + len(off) - 1] = centred(who, self.counts.weigh(r), len(off) - 1)
         return out
 
 
@@ -192,7 +198,7 @@ def centred(who: np.ndarray, r: np.ndarray, n: int) -> np.ndarray:
 
 
 def joined_evidence(docs: DataFrame, counts: Counts, d: int, found: DataFrame) -> DataFrame:
-    """docs with their evidence as column x, by joins of their words with found: for tables too large for a task."""
+    """docs with their evidences as columns x and u, by joins of their words with found: for tables too large for a task."""
     rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
     def words(batches):
@@ -204,41 +210,45 @@ def joined_evidence(docs: DataFrame, counts: Counts, d: int, found: DataFrame) -
     each = rows.select("_row", "text").mapInArrow(lean(words), "_row long, context long, word long")
     level = lambda k, *names: found.filter(F.col("level") == k).select(*[F.col(x).alias(y) for x, y in zip("ab", names, strict=False)], F.col("r").alias(f"r{k}"))
     each = each.join(level(0, "word"), "word", "left").join(level(1, "context"), "context", "left").join(level(2, "context", "word"), ["context", "word"], "left")
-    each = each.select("_row", F.coalesce("r2", F.coalesce("r0", F.lit(counts.unseen(d))) + F.coalesce("r1", F.lit(0.0))).alias("r"))
+    alone = F.coalesce("r0", F.lit(counts.unseen(d)))
+    each = each.select("_row", F.coalesce("r2", alone + F.coalesce("r1", F.lit(0.0))).alias("x"), alone.alias("u"))
 
     def weighed(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts.weigh(b.column(1).to_numpy()))], names=["_row", "r"])
-
-    each = each.mapInArrow(weighed, "_row long, r double")
-    sums = each.groupBy("_row").agg(F.count("*").alias("n"), F.sum("r").alias("s"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY r)").alias("m"))
-    x = F.coalesce((F.col("s") - F.col("n") * F.col("m")) / (F.col("n") + PRIOR_WORDS), F.lit(0.0))
-    return rows.join(sums, "_row", "left").select(*docs.columns, x.alias("x"))
-
-
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton steps with a small ridge."""
-    a = np.array([1.0, 0.0])
-    scale = max(float(np.std(x)), 1e-9)
-    z = np.stack([x / scale, np.ones(len(x))], axis=1)
-    for _ in range(50):
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts.weigh(b.column(k).to_numpy())) for k in (1, 2))], names=["_row", "x", "u"])
+
+    each = each.mapInArrow(weighed, "_row long, x double, u double")
+    middle = [F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {r})").alias(f"m{r}") for r in "xu"]
+    sums = each.groupBy(F.col("_row").alias("_of")).agg(F.count("*").alias("n"), *[F.sum(r).alias(f"s{r}") for r in "xu"], *middle)
+    both = [F.coalesce((F.col(f"s{r}") - F.col("n") * F.col(f"m{r}")) / (F.col("n") + PRIOR_WORDS), F.lit(0.0)).alias(r) for r in "xu"]
+    return rows.join(sums, F.col("_row") == F.col("_of"), "left").select(*docs.columns, *both)
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes of the columns of x and offset, by damped Newton steps with a small ridge."""
+    scale = np.maximum(x.std(axis=0), 1e-9)
+    z = np.column_stack([x / scale, np.ones(len(x))])
+    a = np.zeros(z.shape[1])
+    cost = lambda a: _loss(z, y, a) + 5e-4 * float(a @ a)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ a, -30, 30)))
-        grad = z.T @ (y - p) - 1e-3 * a
-        hess = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(len(a)), z.T @ (y - p) - 1e-3 * a)
+        now = cost(a)
+        while cost(a + step) > now and np.abs(step).max() >= 1e-8:
+            step = step / 2
         a = a + step
         if np.abs(step).max() < 1e-8:
             break
-    return float(a[0] / scale), float(a[1])
+    return a[:-1] / scale, float(a[-1])
 
 
-def _loss(x: np.ndarray, y: np.ndarray, slope: float, offset: float) -> float:
-    z = np.clip(slope * x + offset, -700, 700)
+def _loss(x: np.ndarray, y: np.ndarray, slopes: np.ndarray, offset: float = 0.0) -> float:
+    z = np.clip(x @ slopes + offset, -700, 700)
     return float(np.logaddexp(0, -z)[y > 0].sum() + np.logaddexp(0, z)[y == 0].sum())
 
 
 class Fitted:
-    """What gives docs a column x, the evidence, and the slope and offset of the score."""
+    """What gives docs columns x and u, the evidences of bigrams and of words, and the slopes and offset of the score."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, discounts=DISCOUNTS, table: int = TABLE) -> None:
         rows = materialize(training(labels, "toxic", None, held_out("doc_id", 5, 0)), "labels")
@@ -250,42 +260,47 @@ class Fitted:
         some = rows.filter(fold)
         if n.get(True, 0) > CALIBRATE:
             some = some.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * CALIBRATE / n[True]))
-        self.slope, self.models = 0.0, {}
+        self.slopes, self.models, self.table = np.zeros(2), {}, table
         self.counts = Counts(texts.join(few(rows.filter(~fold)), "doc_id"), discounts)
         held = materialize(texts.join(few(some), "doc_id").select("doc_id", "text", "y"), "calibrate")
-        self.fits = self.counts.size <= table
         share = rows.agg(F.avg("y")).first()[0] or 0.0
         self.d, self.offset, best = discounts[-1], float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), None
         for d in discounts:
-            found = self.evidence(held, d).select("x", "y").toArrow()  # CALIBRATE rows at most, two numbers each
-            x, y = (found.column(k).to_numpy().astype(np.float64) for k in ("x", "y"))
+            found = self.evidence(held, d).select("x", "u", "y").toArrow()  # CALIBRATE rows at most, three numbers each
+            x, y = np.column_stack([found.column(k).to_numpy() for k in "xu"]), found.column("y").to_numpy().astype(np.float64)
             if not len(y) or y.min() == y.max():
                 break
             line = logistic(x, y)
             loss = _loss(x, y, *line)
             if best is None or loss < best:
-                best, self.d, (self.slope, self.offset) = loss, d, line
+                best, self.d, (self.slopes, self.offset) = loss, d, line
 
     def evidence(self, docs: DataFrame, d: int | None = None) -> DataFrame:
-        """docs with column x."""
+        """docs with columns x and u."""
         d = self.d if d is None else d
-        if not self.fits:
-            return joined_evidence(docs, self.counts, d, materialize(self.counts.telling(d), "table"))
         if d not in self.models:
-            self.models[d] = docs.sparkSession.sparkContext.broadcast(Model(self.counts, self.counts.unseen(d), self.counts.telling(d).toArrow()))
+            found = self.counts.telling(d)
+            if self.counts.size > self.table:  # at the smallest d, which others may fall below
+                found = materialize(found, "table")
+            if self.counts.size > self.table and found.count() > self.table:
+                self.models[d] = found
+            else:
+                self.models[d] = docs.sparkSession.sparkContext.broadcast(Model(self.counts, self.counts.unseen(d), found.toArrow()))
+        if isinstance(self.models[d], DataFrame):
+            return joined_evidence(docs, self.counts, d, self.models[d])
         shared, at = self.models[d], docs.columns.index("text")
 
         def run(batches):
             for b in slices(batches, 2500):
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.evidence(b.column(at)))], names=[*b.schema.names, "x"])
+                yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, shared.value.evidence(b.column(at)))], names=[*b.schema.names, "x", "u"])
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return docs.mapInArrow(lean(run), f"{kinds}, x double")
+        return docs.mapInArrow(lean(run), f"{kinds}, x double, u double")
 
 
 def scores(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence) for each row of docs."""
+    """(doc_id, held_out, score, predicted, evidence, word_evidence) for each row of docs."""
     fitted = Fitted(docs, labels, **settings)
-    score = 1 / (1 + F.exp(-(F.lit(fitted.slope) * F.col("x") + F.lit(fitted.offset))))
-    out = fitted.evidence(docs.select("doc_id", "text")).select("doc_id", score.alias("score"), F.col("x").alias("evidence"))
-    return out.select("doc_id", F.coalesce(held_out("doc_id", 5, 0), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    score = 1 / (1 + F.exp(-(F.lit(float(fitted.slopes[0])) * F.col("x") + F.lit(float(fitted.slopes[1])) * F.col("u") + F.lit(fitted.offset))))
+    out = fitted.evidence(docs.select("doc_id", "text")).select("doc_id", score.alias("score"), F.col("x").alias("evidence"), F.col("u").alias("word_evidence"))
+    return out.select("doc_id", F.coalesce(held_out("doc_id", 5, 0), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "word_evidence")

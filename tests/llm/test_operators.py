@@ -530,6 +530,33 @@ def test_toxicity_is_kneser_ney(spark, monkeypatch):
         assert some[i].predicted == joined[i].predicted == y
 
 
+def test_toxicity_learns_from_bigrams(spark):
+    rng, data = random.Random(13), []
+    for i in range(300):  # the same words in both classes, two of them in another order
+        words = [f"{rng.choice(WORDS)}{rng.randrange(12)}" for _ in range(30)]
+        for k in (5, 12, 20):
+            words[k : k + 2] = ["red", "fox"] if i % 3 == 0 else ["fox", "red"]
+        data.append((i, " ".join(words), int(i % 3 == 0)))
+    d = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    got = toxicity.scores(d.select("doc_id", "text"), d.select("doc_id", "toxic")).collect()
+    held = [r for r in got if r.held_out]
+    assert np.mean([r.predicted == int(r.doc_id % 3 == 0) for r in held]) > 0.9
+    fitted = toxicity.Fitted(d.select("doc_id", "text"), d.select("doc_id", "toxic"))
+    assert fitted.counts.large.count() > 0.02 * fitted.counts.bigrams.count()
+
+
+def test_toxicity_weighs_words_too(spark):
+    x = np.random.default_rng(4).normal(size=(400, 2))
+    y = (x[:, 1] + 0.3 * x[:, 0] > 0.4).astype(float)  # separable: steps stay damped
+    slopes, offset = toxicity.logistic(x, y)
+    assert np.mean((x @ slopes + offset >= 0) == (y > 0)) > 0.99 and slopes[1] > 2 * slopes[0] > 0
+    data = _insulting(random.Random(14), 120)
+    d = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    some, joined = ({r.doc_id: r for r in toxicity.scores(d.select("doc_id", "text"), d.select("doc_id", "toxic"), discounts=(1,), **more).collect()} for more in ({}, {"table": 0}))
+    assert all(np.isclose(some[i].word_evidence, joined[i].word_evidence) and np.isclose(some[i].score, joined[i].score) for i in some)
+    assert any(not np.isclose(r.evidence, r.word_evidence) for r in some.values())
+
+
 def test_toxicity_of_repeated_and_long_rows(spark):
     data = _insulting(random.Random(12), 150)
     long = (5000, " ".join(t for _, t, _ in data) * 40 + " nasty" * 30_000, 1)
