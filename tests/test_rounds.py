@@ -23,3 +23,9 @@ def test_full_expansion_beyond_the_rounds_of_its_sql(spark, few_a_round):
     n = sql_rows(oracle.query(oracle.base(), "SELECT n FROM nv"), "sf0.001")[1][0][0]
     assert len(sql_rows(short["expansion_full"], "sf0.001")[1]) < n == len(sql_rows(whole["expansion_full"], "sf0.001")[1])
     same(spark, "expansion_full", queries.expansion_full, whole["expansion_full"])
+
+
+def test_report_beyond_the_rounds_of_its_sql(spark, few_a_round):
+    short, whole = few_a_round
+    assert sql_rows(short["expansion_report"], "sf0.001") != sql_rows(whole["expansion_report"], "sf0.001")
+    same(spark, "expansion_report", queries.expansion_report, whole["expansion_report"])
