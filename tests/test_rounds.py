@@ -29,3 +29,9 @@ def test_report_beyond_the_rounds_of_its_sql(spark, few_a_round):
     short, whole = few_a_round
     assert sql_rows(short["expansion_report"], "sf0.001") != sql_rows(whole["expansion_report"], "sf0.001")
     same(spark, "expansion_report", queries.expansion_report, whole["expansion_report"])
+
+
+def test_leftovers_beyond_the_rounds_of_their_sql(spark, few_a_round):
+    short, whole = few_a_round
+    assert not sql_rows(short["leftover_assign"], "sf0.001")[1] and sql_rows(whole["leftover_assign"], "sf0.001")[1]
+    same(spark, "leftover_assign", queries.leftover_assign, whole["leftover_assign"])
